@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import simhash
+from geoengine.llm import mixing, simhash
 from geoengine.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draws(table(spark, sf_dir, "documents"))
+    return drawn.select(
+        "doc_id",
+        F.col("__m_size").alias("size"),
+        F.col("__m_source_size").alias("source_size"),
+        F.col("__m_target").alias("target"),
+        (F.col("__m_size") * F.size("__m_shards")).alias("taken"),
+        F.col("__m_shards").alias("shards"),
+    )
