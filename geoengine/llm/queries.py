@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import mixing, simhash, topk
+from geoengine.llm import langid, mixing, simhash, topk
 from geoengine.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__m_size") * F.size("__m_shards")).alias("taken"),
         F.col("__m_shards").alias("shards"),
     )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
