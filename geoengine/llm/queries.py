@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import langid, mixing, simhash, topk, toxicity
-from geoengine.session import table
+from geoengine.llm import langid, mixing, ogg, simhash, topk, toxicity, warc
+from geoengine.llm.common import utf8
+from geoengine.session import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,30 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stored = ogg.encode(docs.select("doc_id", F.octet_length(utf8()).cast("long").alias("n_bytes"), ogg.text_payload().alias("p")).select("doc_id", "n_bytes", "p"), F.col("p")).drop("p")
+    back = ogg.decode(stored)
+    feature = F.format_string("streams=%d;pages=%d;packets=%d;seconds=%.6f;mean=%.6f;skipped=%d;lost=%d", "streams", "pages", "packets", "seconds", "mean", F.size("skipped"), "lost")
+    return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), ogg.tail_crc32(F.col("payload")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = durable(warc.archives(warc.planned(table(spark, sf_dir, "pages"))))
+    records = warc.read_archives(files).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op10_warc"] = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as digest from pages
+), f as (select digest, min(page_id) as first from p where n >= 100 group by digest)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
+       case when f.first is null or f.first = p.page_id then 'response' else 'revisit' end as record_type,
+       case when f.first <> p.page_id then f.first end as refers_to
+from p left join f on f.digest = p.digest
+"""
