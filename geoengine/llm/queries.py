@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import langid, mixing, ogg, simhash, topk, toxicity, warc
+from geoengine.llm import langid, mixing, ogg, pieces, simhash, topk, toxicity, warc
 from geoengine.llm.common import utf8
 from geoengine.session import durable, table
 
@@ -42,6 +42,12 @@ where rank <= 10
 """
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
