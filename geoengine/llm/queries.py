@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import langid, mixing, ogg, pieces, simhash, topk, toxicity, warc
+from geoengine.llm import langid, mixing, ogg, pieces, quality, simhash, topk, toxicity, warc
 from geoengine.llm.common import utf8
 from geoengine.session import durable, table
 
@@ -72,6 +72,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
