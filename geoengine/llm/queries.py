@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoengine.llm import langid, mixing, ogg, pieces, quality, simhash, topk, toxicity, warc
+from geoengine.llm import langid, lm, mixing, ogg, pieces, quality, simhash, topk, toxicity, warc
 from geoengine.llm.common import utf8
 from geoengine.session import durable, table
 
@@ -48,6 +48,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
