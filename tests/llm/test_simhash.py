@@ -8,6 +8,16 @@ import xxhash
 from geoengine.llm import simhash
 
 
+@pytest.fixture
+def tiny_batches(spark):
+    """Batches of a few rows, so that buckets run over batches and reach the limit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    yield
+    spark.conf.set(name, before)
+
+
 def plain(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "")).encode()
     words = [w for w in __import__("re").split(rb"[\x20\x09-\x0d]+", words) if w]
@@ -77,7 +87,7 @@ def test_very_long_text():
 
 
 @pytest.mark.parametrize("limit", [1, 3, 40])
-def test_second_family_finds_the_same_classes(spark, limit):
+def test_second_family_finds_the_same_classes(spark, limit, tiny_batches):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 5))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(30)}
@@ -96,7 +106,7 @@ def test_forest_joins_exactly_the_linked():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 1, dtype=np.uint64)[0]
     members = np.unique(np.array([base ^ np.uint64(1 << int(p)) ^ np.uint64(1 << int(q)) for p, q in rng.integers(0, 63, (60, 2))]))
-    pairs = simhash.forest(members, 4)
+    pairs = simhash.forest(members, members, 4, 64)
     assert sum(p[0].size for p in pairs) == members.size - 1
 
 
@@ -123,7 +133,54 @@ def test_runs_that_cross_batches():
     t, f = np.array([r[0] for r in rows], np.int32), np.array([r[2] for r in rows], np.int64)
 
     def edges(size):
-        batches = [pa.RecordBatch.from_arrays([pa.array(t[i : i + size]), pa.array(f[i : i + size])], names=["t", "fp"]) for i in range(0, t.size, size)]
-        return sorted((u, v) for b in simhash._links(masks, 4, None)(iter(batches)) for u, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+        batches = [pa.RecordBatch.from_arrays([pa.array(t[i : i + size]), *[pa.array(f[i : i + size])] * 2], names=["t", "s", "fp"]) for i in range(0, t.size, size)]
+        return sorted((u, v) for b in simhash._links(masks, 4, 64, None)(iter(batches)) for u, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
 
     assert edges(7) == edges(10**6) and len(edges(7)) >= 1000
+
+
+def test_near_copies_with_changed_words(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows, base = [], {}
+    for g in range(25):
+        text = [rng.choice(words) for _ in range(rng.randint(90, 400))]
+        for c in range(5):
+            copy = list(text)
+            for _ in range(len(text) // 60 if c else 0):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((g * 10 + c, " ".join(copy)))
+            base[g * 10 + c] = g * 10
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 200)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert all(got[i] == i for i in got if i >= 1000)
+    assert sum(got[i] == base[i] for i in base) >= 0.97 * len(base)
+    small = {r.doc_id: r.component_id for r in simhash.near_copies(df, sketches=6).collect()}
+    assert small == got
+
+
+@pytest.mark.parametrize("limit", [2, 1 << 15])
+def test_sketch_links_against_all_pairs(spark, limit, tiny_batches):
+    rng = random.Random(4)
+    centre, own = rng.getrandbits(64), rng.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << p for p in rng.sample(range(64), n))
+    nodes = {flip(own, rng.randint(0, 9)): [flip(centre, rng.randint(0, 4)) for _ in range(2)] for _ in range(60)}
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(sign(f), [sign(x) for x in s]) for f, s in nodes.items()], "fp long, s array<bigint>")
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, bucket_limit=limit, sketches=2, max_bits=9)).collect()}
+    keys, parent = list(nodes), {f: f for f in nodes}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a in keys:
+        for b in keys:
+            if (a ^ b).bit_count() <= 9 and any((x ^ y).bit_count() <= 4 for x, y in zip(nodes[a], nodes[b])):
+                parent[root(a)] = root(b)
+    for a in keys:
+        for b in keys:
+            if a != b and sign(a) in got and sign(b) in got:
+                assert (root(a) == root(b)) == (got[sign(a)] == got[sign(b)])
