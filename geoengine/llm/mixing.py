@@ -90,13 +90,23 @@ def _permuted(block: Column, bits: Column, key: Column) -> Column:
     return x
 
 
-def _lgamma(x: Column) -> Column:
-    """Log gamma for x >= 1 (Stirling's series, shifted up by 8)."""
-    y = x + 8
-    shift = F.ln(x)
-    for i in range(1, 8):
-        shift = shift + F.ln(x + i)
-    return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - shift
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _lgamma(value: Column) -> Column:
+    """Log gamma for a value >= 1 (Stirling's series, shifted up by 8)."""
+
+    def series(x: Column) -> Column:
+        shift = x
+        for i in range(1, 8):
+            shift = shift * (x + i)
+        large = let(x + 8, lambda y: (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y))
+        # the product of the eight factors leaves a double's range above 10^38 only
+        return large - F.ln(shift)
+
+    return let(value, series)
 
 
 def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -104,21 +114,33 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
 
     The walk covers 14 standard deviations on both sides of the mean; beyond lies less than a double's precision.
     """
-    n, k, m = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    mean = m * k / F.greatest(n, F.lit(1.0))
-    spread = 14 * F.sqrt(mean * (1 - k / F.greatest(n, F.lit(1.0))) + 1) + 2
-    low = F.greatest(F.lit(0.0), m + k - n, F.floor(mean - spread).cast("double"))
-    high = F.least(m, k, F.ceil(mean + spread).cast("double"))
     choose = lambda a, b: _lgamma(a + 1) - _lgamma(b + 1) - _lgamma(a - b + 1)
-    first = F.exp(choose(k, low) + choose(n - k, m - low) - choose(n, m))
-    start = F.struct(first.alias("p"), first.alias("c"), low.alias("x"))
 
-    def step(s: Column, x: Column) -> Column:
-        p = s["p"] * (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))
-        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.when(s["c"] <= u, x).otherwise(s["x"]).alias("x"))
+    def spread(b: Column) -> Column:
+        n, k, m = b["n"], b["k"], b["m"]
+        share = k / F.greatest(n, F.lit(1.0))
+        return F.struct(n.alias("n"), k.alias("k"), m.alias("m"), b["u"].alias("u"), (m * share).alias("mean"), (14 * F.sqrt(m * share * (1 - share) + 1) + 2).alias("reach"))
+
+    def ends(b: Column) -> Column:
+        n, k, m = b["n"], b["k"], b["m"]
+        low = F.greatest(F.lit(0.0), m + k - n, F.floor(b["mean"] - b["reach"]).cast("double"))
+        high = F.least(m, k, F.ceil(b["mean"] + b["reach"]).cast("double"))
+        return F.struct(n.alias("n"), k.alias("k"), m.alias("m"), b["u"].alias("u"), low.alias("low"), high.alias("high"))
+
+    def walk(b: Column) -> Column:
+        n, k, m, low, high = (b[c] for c in ("n", "k", "m", "low", "high"))
+        first = F.exp(choose(k, low) + choose(n - k, m - low) - choose(n, m))
+        start = let(first, lambda p: F.struct(p.alias("p"), p.alias("c"), low.alias("x")))
+
+        def step(s: Column, x: Column) -> Column:
+            p = s["p"] * (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))
+            return let(p, lambda q: F.struct(q.alias("p"), (s["c"] + q).alias("c"), F.when(s["c"] <= b["u"], x).otherwise(s["x"]).alias("x")))
+
+        steps = F.when(high > low, F.transform(F.sequence((low + 1).cast("long"), high.cast("long")), lambda v: v.cast("double"))).otherwise(F.array().cast("array<double>"))
+        return F.aggregate(steps, start, step, lambda s: s["x"]).cast("long")
 
-    steps = F.when(high > low, F.transform(F.sequence((low + 1).cast("long"), high.cast("long")), lambda v: v.cast("double"))).otherwise(F.array().cast("array<double>"))
-    return F.aggregate(steps, start, step, lambda s: s["x"]).cast("long")
+    given = F.struct(total.cast("double").alias("n"), marked.cast("double").alias("k"), drawn.cast("double").alias("m"), u.alias("u"))
+    return let(let(let(given, spread), ends), walk)
 
 
 def shard_counts(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -133,8 +155,8 @@ def shard_counts(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
         def split(s: Column, x: Column) -> Column:
             u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), F.size(s["out"])), F.lit(1 << 52)) / float(1 << 52)
-            got = _hypergeometric(s["n"], x, s["m"], u)
-            return F.struct((s["n"] - x).alias("n"), (s["m"] - got).alias("m"), F.array_append(s["out"], got).alias("out"))
+            take = lambda got: F.struct((s["n"] - x).alias("n"), (s["m"] - got).alias("m"), F.array_append(s["out"], got).alias("out"))
+            return let(_hypergeometric(s["n"], x, s["m"], u), take)
 
         halves = whole.withColumn("size", size).withColumn("left", F.aggregate("q", start, split, lambda s: s["out"]))
         # written at each level, so that the next does not compute this one again for each use
