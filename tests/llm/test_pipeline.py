@@ -50,3 +50,25 @@ def test_run_agrees_with_itself(spark):
     a = corpus_pipeline.run(spark, SF).select("doc_id", "n_pieces").collect()
     b = corpus_pipeline.run(spark, SF).select("doc_id", "n_pieces").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path, rows):
+    text = "the thing and the other thing were there and then some more of the same words came along with it"
+    odd = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " again", "en", None, None), (3, None, None, None, None), (4, "", "en", "b", 0), (None, text.upper(), "de", "b", 1), (5, "12 34", "en", "c", 1), (6, "word " * 30_000, "en", "c", 1), (None, None, None, None, None)]
+    spark.createDataFrame(odd if rows == "odd" else [], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (2, 0, 1), (None, 1, 1), (4, None, None)]
+    spark.createDataFrame(labels if rows == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        assert out.collect() is not None
+        if rows == "none":
+            assert out.count() == 0
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.lossless for r in last)
