@@ -8,9 +8,21 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from geoengine.session import local_session
+    from pyspark.sql import SparkSession
 
-    session = local_session(cores=4, shuffle_partitions=4, memory="4g")
+    # tiny tables: compiling a plan and planning it anew take longer than running it
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "3")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
