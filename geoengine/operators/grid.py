@@ -35,23 +35,23 @@ def make_grid(df: DataFrame, gridsize: float, clip_to_bounds: bool = False) -> D
     return grid.where((x1 > x0) & (y1 > y0)).withColumn("geometry", g.box(x0, y0, x1, y1))
 
 
-def add_grid_id(points: DataFrame, gridsize: int, out_column: str = "ssb_grid_id", x: str = "x", y: str = "y") -> DataFrame:
+def add_grid_id(points: DataFrame, gridsize: int, out_column: str = "grid_id", x: str = "x", y: str = "y") -> DataFrame:
     """The id of the official grid's cell: east (shifted by two million) and north of its lower left corner, as one text."""
     east = (F.floor((F.col(x) + 2_000_000) / gridsize) * gridsize).cast("long")
     north = (F.floor(F.col(y) / gridsize) * gridsize).cast("long")
     return points.withColumn(out_column, F.concat(east.cast("string"), north.cast("string")))
 
 
-def make_ssb_grid(points: DataFrame, gridsize: int = 1000, add: int = 1) -> DataFrame:
+def make_official_grid(points: DataFrame, gridsize: int = 1000, add: int = 1) -> DataFrame:
     """All cells of the official grid over the points' bounds, with their id."""
     r = points.agg(*[F.floor(f(c) / gridsize).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("a", F.min), ("b", F.max))]).first()
     spark = points.sparkSession
     if r.ax is None:
-        return spark.range(0).select(F.lit("").alias("ssb_grid_id"), g.point(F.lit(0.0), F.lit(0.0)).alias("geometry"))
+        return spark.range(0).select(F.lit("").alias("grid_id"), g.point(F.lit(0.0), F.lit(0.0)).alias("geometry"))
     xs = spark.range(r.ax, r.bx + add).select((F.col("id") * gridsize).alias("x"))
     ys = spark.range(r.ay, r.by + add).select((F.col("id") * gridsize).alias("y"))
     cells = add_grid_id(xs.crossJoin(ys), gridsize)
-    return cells.select("ssb_grid_id", g.box(F.col("x"), F.col("y"), F.col("x") + gridsize, F.col("y") + gridsize).alias("geometry"))
+    return cells.select("grid_id", g.box(F.col("x"), F.col("y"), F.col("x") + gridsize, F.col("y") + gridsize).alias("geometry"))
 
 
 def get_total_bounds(*dfs: DataFrame) -> DataFrame:

@@ -102,16 +102,16 @@ def nearest_snap(spark, sf):
     return snapped.select("id", F.round("snap_distance", 4).alias("snap_distance"))
 
 
-@query("grid_id_counts", f"select concat(cast(cast(floor((x + 2000000) / 1000.0) * 1000 as bigint) as varchar), cast(cast(floor(y / 1000.0) * 1000 as bigint) as varchar)) as ssb_grid_id, count(*) as n from {C} c group by 1")
+@query("grid_id_counts", f"select concat(cast(cast(floor((x + 2000000) / 1000.0) * 1000 as bigint) as varchar), cast(cast(floor(y / 1000.0) * 1000 as bigint) as varchar)) as grid_id, count(*) as n from {C} c group by 1")
 def grid_id_counts(spark, sf):
-    return grid.add_grid_id(fx.customers(spark, sf), 1000).groupBy("ssb_grid_id").agg(F.count("*").alias("n"))
+    return grid.add_grid_id(fx.customers(spark, sf), 1000).groupBy("grid_id").agg(F.count("*").alias("n"))
 
 
-@query("ssb_grid", f"""with b as (select cast(floor(min(x) / 1000.0) as bigint) as a, cast(floor(max(x) / 1000.0) as bigint) as c, cast(floor(min(y) / 1000.0) as bigint) as d, cast(floor(max(y) / 1000.0) as bigint) as e from {C} t)
-select concat(cast(2000000 + 1000 * i as varchar), cast(1000 * j as varchar)) as ssb_grid_id, 1000000.0 as area
+@query("official_grid", f"""with b as (select cast(floor(min(x) / 1000.0) as bigint) as a, cast(floor(max(x) / 1000.0) as bigint) as c, cast(floor(min(y) / 1000.0) as bigint) as d, cast(floor(max(y) / 1000.0) as bigint) as e from {C} t)
+select concat(cast(2000000 + 1000 * i as varchar), cast(1000 * j as varchar)) as grid_id, 1000000.0 as area
 from (select unnest(generate_series(a, c)) as i from b), (select unnest(generate_series(d, e)) as j from b)""")
-def ssb_grid(spark, sf):
-    return grid.make_ssb_grid(fx.customers(spark, sf), 1000).select("ssb_grid_id", F.round(g.area("geometry"), 3).alias("area"))
+def official_grid(spark, sf):
+    return grid.make_official_grid(fx.customers(spark, sf), 1000).select("grid_id", F.round(g.area("geometry"), 3).alias("area"))
 
 
 @query("make_grid", f"""with b as (select min(x0) as a, max(x1) as c, min(y0) as d, max(y1) as e from {B} t)

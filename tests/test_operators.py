@@ -285,8 +285,8 @@ def test_grids(spark):
     clipped = grid.make_grid(df, 1.0, clip_to_bounds=True)
     assert clipped.agg(F.sum(g.area("geometry"))).first()[0] == pytest.approx(6)
     p = spark.createDataFrame([(261106.0, 6649101.0)], "x double, y double")
-    assert grid.add_grid_id(p, 1000).first().ssb_grid_id == "22610006649000"
-    assert grid.make_ssb_grid(p, 1000).count() == 1
+    assert grid.add_grid_id(p, 1000).first().grid_id == "22610006649000"
+    assert grid.make_official_grid(p, 1000).count() == 1
     inside = grid.random_points_in_polygons(df, "id", 7, seed=1)
     assert inside.count() == 7 and inside.where("x between 0.5 and 3.5 and y between 0.5 and 2.5").count() == 7
     assert grid.points_in_bounds(df, 1.0).count() == 3 * 2
