@@ -211,6 +211,35 @@ def links(fps: DataFrame, radius: int = 4, seed: int = 20240, bucket_limit: int
     return out.unionByName(durable(dealt(again, both, None)).select("u", "v"))
 
 
+def thinned(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """u, v: for each part of about ``per_task`` edges the stars that join the same nodes, each node to the smallest it reaches in the part.
+
+    A group meets in many tables, and each gives it a forest; joined in tasks
+    that hold a bounded number of edges, they shrink to a few stars.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = root(u), root(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = [x for x in parent if root(x) != x]
+        yield batch_of(u=np.array(nodes, np.int64), v=np.array([root(x) for x in nodes], np.int64))
+
+    return edges.coalesce(max(8, -(-edges.count() // per_task))).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable from each node of ``edges`` (u, v), by alternating large and small stars.
 
@@ -236,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(rows: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """``id_col``, fp, component_id for rows (id, fp) whose fingerprints are linked by ``edges``."""
     distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    linked = durable(components(edges).withColumnRenamed("node", "fp").join(distinct, "fp"))
+    linked = durable(components(thinned(edges)).withColumnRenamed("node", "fp").join(distinct, "fp"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.join(smallest, "root").select("fp", "component_id")
     ids = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))

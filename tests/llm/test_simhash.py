@@ -184,3 +184,14 @@ def test_sketch_links_against_all_pairs(spark, limit, tiny_batches):
         for b in keys:
             if a != b and sign(a) in got and sign(b) in got:
                 assert (root(a) == root(b)) == (got[sign(a)] == got[sign(b)])
+
+
+def test_thinned_edges_join_the_same(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(60)] * 3
+    df = spark.createDataFrame(rows, "u long, v long").repartition(5)
+    want = {r.node: r.root for r in simhash.components(df).collect()}
+    thin = simhash.thinned(df, 20)
+    assert thin.count() < len(rows)
+    assert {r.node: r.root for r in simhash.components(thin).collect()} == want
+    assert simhash.components(simhash.thinned(df.where("false"))).count() == 0
