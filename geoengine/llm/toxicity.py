@@ -4,8 +4,9 @@ Tokens are runs of letters, A-Z lower-cased. Keys are the tokens and their first
 5 to 9 bytes, for words that take many endings. A key's score is its log-odds
 of toxic against other labelled texts, with a Dirichlet prior informed by the
 key's overall share, taken only as far as it exceeds ``z`` standard errors. A
-token has the largest score of its keys, and -``drift`` if none has one. A
-linear scan (Ruzzo and Tompa) finds every
+token has the largest score of its keys, and -``drift`` if none has one or if it
+repeats the token before it. Training counts the texts that hold a key, so a
+text that repeats itself says no more than once. A linear scan (Ruzzo and Tompa) finds every
 maximal-scoring segment of a text. Under the null, the best segment of a text of
 n tokens follows an extreme-value law: its scale lambda solves sum p e^(lambda
 s) = 1 over the scores of the texts that are not toxic, and its location K is
@@ -77,6 +78,11 @@ class Scores(dict):
     def __reduce__(self):
         return Scores, (self.keyed, self.drift)
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The scores of a text's tokens; one that repeats the token before it scores as if it were unknown."""
+        low = -self.drift
+        return np.array([self[w] if w != p else low for w, p in zip(words, [None, *words])])
+
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), in linear time; only runs of positive scores are looked at one by one."""
@@ -122,7 +128,7 @@ class Model:
         if not words:
             return [], 0.0
         scores = self.scores
-        found = [(a, b, self.surprise(s, len(words))) for a, b, s in segments(np.array([scores[w] for w in words]))]
+        found = [(a, b, self.surprise(s, len(words))) for a, b, s in segments(scores.of(words))]
         best, t = 0.0, 0.0
         for r, x in enumerate(sorted((x[2] for x in found if x[2] > 0), reverse=True), 1):
             t += x
@@ -155,7 +161,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_labelled:
     return docs.select(F.col(id_col).alias("__i"), utf8(text_col).alias("text")).join(F.broadcast(some), F.col("__i") == F.col("__id")).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_labelled: int = 20_000, max_tokens: int = 100_000, prior: float = 0.01, z: float = 2.0, drift: float = 0.2, max_expected: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_labelled: int = 20_000, max_tokens: int = 100_000, prior: float = 0.01, z: float = 3.0, drift: float = 0.2, max_expected: float = 0.05) -> Model:
     rows = durable(training_rows(docs, labels, folds, max_labelled, id_col, text_col, label_col))
     model = Model(scores=Scores({}, drift), max_expected=max_expected)
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -168,11 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         both = Counter(), Counter()
         for b in batches:
             for text, label in zip(b.column(0), b.column(1).to_pylist()):
-                both[label > 0].update(tokens_of(text.as_buffer().to_pybytes()))
-        for counted in both:
-            for word, n in list(counted.items()):
-                for key in keys_of(word)[1:]:
-                    counted[key] += n
+                both[label > 0].update({key for word in set(tokens_of(text.as_buffer().to_pybytes())) for key in keys_of(word)})
         words = list(both[0].keys() | both[1].keys())
         yield batch_of(token=pa.array(words, pa.binary()), other=np.array([both[0][w] for w in words], np.int64), toxic=np.array([both[1][w] for w in words], np.int64))
 
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         scores, seen = sent.value.scores, Counter()
         for b in batches:
             for text in b.column(0):
-                seen.update([scores[w] for w in tokens_of(text.as_buffer().to_pybytes())])
+                seen.update(scores.of(tokens_of(text.as_buffer().to_pybytes())).tolist())
         yield batch_of(s=np.array(list(seen), np.float64), n=np.array(list(seen.values()), np.int64))
 
     # at most one row for each key that was kept
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         scores = sent.value.scores
         for b in batches:
             words = [tokens_of(t.as_buffer().to_pybytes()) for t in b.column(0)]
-            tops = [max((x[2] for x in segments(np.array([scores[w] for w in own]))), default=0.0) for own in words]
+            tops = [max((x[2] for x in segments(scores.of(own))), default=0.0) for own in words]
             yield batch_of(n=np.array([len(x) for x in words], np.int64), s=np.array(tops, np.float64))
 
     # at most max_labelled rows of two numbers
