@@ -127,3 +127,13 @@ def test_cutting():
     assert k.cut([(0, 0), (10, 0)], [4, 4, 20, -1]) == [[(0, 0), (4.0, 0.0)], [(4.0, 0.0), (10, 0)]]
     assert k.cut([(0, 0), (1, 0), (2, 0)], [1]) == [[(0, 0), (1, 0)], [(1.0, 0.0), (2, 0)]]
     assert ok.simplify([(0, 0), (1, 0.01), (2, 0), (3, 2)], 0.1) == [(0, 0), (2, 0), (3, 2)]
+
+
+def test_rectangles_take_the_short_way_to_the_same_result():
+    rng = random.Random(7)
+    for _ in range(60):
+        a, b = (box(x, y, x + rng.randint(1, 6), y + rng.randint(1, 6)) for x, y in ((rng.randint(0, 6), rng.randint(0, 6)) for _ in range(2)))
+        both = ok.arrange([a, b], lambda c: c.all(axis=1))
+        assert ok.area(ok.intersection(a, b)) == pytest.approx(ok.area(both))
+        assert ok.predicate("intersects", ("Polygon", a), ("Polygon", b)) == (ok.separation(("Polygon", a), ("MultiPolygon", b)) == 0)
+    assert ok.as_box([[[(0, 0), (2, 0), (1, 1), (0, 1), (0, 0)]]]) is None and ok.as_box([[[(0, 0), (1, 1), (0, 1), (1, 0), (0, 0)]]]) is None
