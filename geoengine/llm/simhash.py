@@ -15,14 +15,14 @@ bucket gives a spanning forest of its links, not its pairs. A bucket of over
 family over the bits that its mask leaves free. What shares both keys can differ
 in at most 16 bits (for radius 4), which bounds every second bucket.
 
-``keep_one`` wants near copies of five-word shingles, similar by 0.8 or more.
-A pair at that bound differs in 5 to 14 of 64 shingle bits, beyond any covering
-radius that a few tables can carry. Its distinct words, though, change little:
-their SimHash differs in about 4 bits. So the tables hold sketches of distinct
-words, several with hashes of their own, since each misses some pairs by chance
-of its bits; a link needs a sketch within the radius and shingle fingerprints
-within ``max_bits``. On the test tables 6 sketches reach every pair at 0.8 or
-more that was looked at, one reaches three in four.
+``keep_one`` wants near copies: texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more, exactly. Sets that similar share a shingle in
+their prefixes, the first n - ceil(0.8 n) + 1 of n shingles in any one order of
+all shingles; so the texts meet by prefix shingle and none is missed. The order
+puts first what is rare in a sample of texts, which keeps the meetings small and
+changes nothing else. Each pair that meets and can still be similar by its sizes
+and positions is verified on the whole sets. First come neighbours in a bucket,
+then only the pairs of a bucket that the verified links have not joined yet.
 
 Nulls: a null text is the empty text, with fingerprint zero, linked like any
 other; a null doc_id is a row like others, and never the smallest of its
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -278,21 +279,168 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(rows, links(rows.select("fp").distinct(), radius), id_col)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, sketches: int = 6, max_bits: int = 16, seed: int = 42) -> DataFrame:
-    """Like ``near_duplicates``, for copies with some words changed."""
+def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order; a text of fewer words is one shingle, one of none has none."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    if len(words) <= size:
+        return np.frombuffer(digest(joined, seed), ">u8").astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths) + np.arange(len(words))
+    starts, ends = (ends - lengths)[: 1 - size].tolist(), ends[size - 1 :].tolist()
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64))
+
+
+def common_shingles(texts: DataFrame, size: int, seed: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts): shingles that three or more of about ``sample`` texts (column text) share, the ``most`` most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield batch_of(s=shingles(t.as_buffer().to_pybytes(), size, seed).view(np.int64))
+
+    share = max(1, -(-texts.count() // sample))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
+    found = some.mapInArrow(run, "s long").groupBy("s").count().where("count >= 3").orderBy(F.desc("count"), "s").limit(most).toPandas()
+    hashes, counts = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _possible(na, ia, nb, ib, t: Fraction):
+    """Whether sets of these sizes can have Jaccard t if the elements at these places of the order are the first they share."""
+    return np.minimum(na - ia, nb - ib) * (t.denominator + t.numerator) >= t.numerator * (na + nb)
+
+
+def _meetings(t: Fraction, across: bool):
+    """Over rows (s, n, p, fp, root) sorted by (s, n, fp), pairs late = 0, u, v of a bucket (one s) that can be similar: neighbours, with the members of larger buckets as late = 1; or, ``across``, all pairs of unlike root."""
+
+    def near(s, n, p, fp, root) -> Iterator[pa.RecordBatch]:
+        same = s[1:] == s[:-1]
+        i = np.flatnonzero(same & _possible(n[1:], p[1:], n[:-1], p[:-1], t))
+        three = np.flatnonzero(same[1:] & same[:-1])
+        late = np.unique(np.r_[three, three + 1, three + 2])
+        u, v = np.maximum(fp[i], fp[i + 1]), np.minimum(fp[i], fp[i + 1])
+        zero = np.zeros(i.size, np.int64)
+        yield batch_of(late=zero, u=u, v=v, n=zero, p=zero)
+        yield batch_of(late=np.ones(late.size, np.int64), u=fp[late], v=s[late], n=n[late], p=p[late])
+
+    def far(s, n, p, fp, root) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        ends = np.r_[starts[1:], s.size]
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        found, held = [], 0
+        for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            for i in range(a, b - 1):
+                top = a + int(np.searchsorted(n[a:b], n[i] * t.denominator // t.numerator, "right"))
+                j = slice(i + 1, top)
+                k = np.flatnonzero((root[j] != root[i]) & _possible(n[j], p[j], n[i], p[i], t)) + i + 1
+                if k.size:
+                    found.append((np.maximum(fp[k], fp[i]), np.minimum(fp[k], fp[i])))
+                    held += k.size
+                if held > SLICE:
+                    yield pairs(found)
+                    found, held = [], 0
+        if found:
+            yield pairs(found)
+
+    def pairs(found) -> pa.RecordBatch:
+        u, v = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+        zero = np.zeros(u.size, np.int64)
+        return batch_of(late=zero, u=u, v=v, n=zero, p=zero)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # whole buckets go on; the last one of a batch waits for the rest of it
+        wait: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            rows = tuple(column(b, c) for c in ("s", "n", "p", "fp", "root"))
+            if not rows[0].size:
+                continue
+            s = rows[0]
+            if s[-1] == s[0] and (not wait or wait[0][0][0] == s[0]):
+                wait.append(rows)
+                continue
+            last = int(np.searchsorted(s, s[-1]))
+            whole = tuple(np.concatenate(x) for x in zip(*wait, tuple(x[:last] for x in rows)))
+            yield from (far if across else near)(*whole)
+            wait = [tuple(x[last:] for x in rows)]
+        if wait:
+            yield from (far if across else near)(*(np.concatenate(x) for x in zip(*wait)))
+
+    return run
+
+
+def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int, t: Fraction) -> DataFrame:
+    """u, v: the ``pairs`` (u, v) whose texts' shingle sets have Jaccard t or more.
+
+    ``keys`` (fp, key) names a text for each node, ``texts`` (key, text) has them;
+    only those that some pair needs are read into sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [shingles(x.as_buffer().to_pybytes(), size, seed).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys, "fp")
+    found = needed.join(texts, "key").select("fp", "text").dropDuplicates(["fp"])
+    sets = durable(found.mapInArrow(run, "fp long, s array<bigint>"))
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
+    shared = F.size(F.array_intersect("su", "sv")).cast("long") * (t.denominator + t.numerator)
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(shared >= (F.size("su") + F.size("sv")).cast("long") * t.numerator).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, sketches: int = 6, max_bits: int = 16, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+    """Like ``near_duplicates``, for texts whose shingle sets have a Jaccard of ``similarity`` or more; fp is a hash of the set.
+
+    ``radius``, ``sketches`` and ``max_bits`` are taken for older calls and have no effect: no sketch decides.
+    """
+    t = Fraction(str(similarity))
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    keyed = texts.select(F.xxhash64("text").alias("key"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, shingle, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = sent.value
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() for t in b.column(1)]
-            fps = pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, pa.array([word_sketches(t, sketches) for t in texts], pa.list_(pa.int64()))], names=["id", "fp", "s"])
+            fps, sizes, firsts = [], [], []
+            for x in b.column(2):
+                s = shingles(x.as_buffer().to_pybytes(), shingle, seed)
+                fps.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), seed), "big", signed=True))
+                sizes.append(s.size)
+                first = s.size - -(-s.size * t.numerator // t.denominator) + 1 if s.size else 0
+                if hashes.size:
+                    at = np.minimum(np.searchsorted(hashes, s), hashes.size - 1)
+                    s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
+                firsts.append(s[:first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "fp", "n", "first"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, s array<bigint>")
+    rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, n long, first array<bigint>")
     rows = durable(rows.withColumnRenamed("id", id_col))
-    # texts of one fingerprint are one node; any of their sketches stands for it
-    nodes = rows.groupBy("fp").agg(F.min("s").alias("s"))
-    return classes(rows.select(id_col, "fp"), links(nodes, radius, sketches=sketches, max_bits=max_bits), id_col)
+    # texts of one set are one node; any of them stands for it
+    keys = rows.groupBy("fp").agg(F.min("key").alias("key"))
+    nodes = rows.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("first").alias("p", "s"))
+    out = "late long, u long, v long, n long, p long"
+
+    def dealt(members: DataFrame) -> DataFrame:
+        return members.select("s", "n", F.col("p").cast("long").alias("p"), "fp", "root").repartition("s").sortWithinPartitions("s", "n", "fp")
+
+    met = durable(dealt(nodes.withColumn("root", F.col("fp"))).mapInArrow(_meetings(t, False), out))
+    pairs = lambda df: df.where("late = 0").select("u", "v").distinct()
+    edges = durable(verified(durable(pairs(met)), keys, keyed, shingle, seed, t))
+    late = met.where("late = 1").select(F.col("v").alias("s"), "n", "p", F.col("u").alias("fp"))
+    if not late.isEmpty():
+        roots = durable(components(thinned(edges)))
+        grouped = late.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rest = durable(pairs(dealt(grouped).mapInArrow(_meetings(t, True), out)))
+        if not rest.isEmpty():
+            edges = durable(edges.unionByName(verified(rest, keys, keyed, shingle, seed, t)))
+    return classes(rows.select(id_col, "fp"), edges, id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

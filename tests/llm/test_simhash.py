@@ -195,3 +195,51 @@ def test_thinned_edges_join_the_same(spark):
     assert thin.count() < len(rows)
     assert {r.node: r.root for r in simhash.components(thin).collect()} == want
     assert simhash.components(simhash.thinned(df.where("false"))).count() == 0
+
+
+def sets_of(rows):
+    out = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar_classes(rows):
+    """Component ids by Jaccard of 0.8 or more over all pairs."""
+    sets, parent = sets_of(rows), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+def test_near_copies_are_verified_against_all_pairs(spark, tiny_batches):
+    rng = random.Random(11)
+    words = ["w%d" % min(int(rng.paretovariate(0.7)), 3000) for _ in range(20_000)]
+    line = " ".join(rng.choice(words) for _ in range(30))
+    rows = []
+    for g in range(25):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 300))] + line.split()
+        for c in range(6):
+            copy = list(text)
+            # few to many words change, so similarities lie on both sides of 0.8
+            for _ in range(round(len(text) * c * 0.012)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["a b", "A  b", "", None, "a b c d e", "a b c d e f"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = similar_classes(rows)
+    assert 40 < len(set(want.values())) < len(rows) - 10
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
