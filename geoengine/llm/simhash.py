@@ -21,7 +21,8 @@ their prefixes, the first n - ceil(0.8 n) + 1 of n shingles in any one order of
 all shingles; so the texts meet by prefix shingle and none is missed. The order
 puts first what is rare in a sample of texts, which keeps the meetings small and
 changes nothing else. Each pair that meets and can still be similar by its sizes
-and positions is verified on the whole sets. First come neighbours in a bucket,
+and positions is verified on the whole sets, unless bitmaps of parities already
+differ in more bits than the sets may differ in elements. First come neighbours in a bucket,
 then only the pairs of a bucket that the verified links have not joined yet.
 
 Nulls: a null text is the empty text, with fingerprint zero, linked like any
@@ -47,6 +48,8 @@ from geoengine.llm.common import batch_of, column, utf8, words_of
 from geoengine.session import durable
 
 BITS = 64
+#: Longs of a set's parity bitmap; sets of over about twice its bits always go on to be verified.
+PARITY = 16
 #: Shingles whose bits are unpacked at once; bounds memory for very long texts.
 SLICE = 1 << 15
 
@@ -375,8 +378,10 @@ def _meetings(t: Fraction, across: bool):
 def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int, t: Fraction) -> DataFrame:
     """u, v: the ``pairs`` (u, v) whose texts' shingle sets have Jaccard t or more.
 
-    ``keys`` (fp, key) names a text for each node, ``texts`` (key, text) has them;
-    only those that some pair needs are read into sets.
+    ``keys`` (fp, key, n, bits) names a text for each node, with its set's size
+    and parities, ``texts`` (key, text) has them. A bit in which two bitmaps
+    differ stands for at least one element in which the sets do, so pairs beyond
+    the difference that t allows go first; only texts of the rest are read again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +391,11 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, see
                 sets = [shingles(x.as_buffer().to_pybytes(), size, seed).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys, "fp")
+    part = lambda c: keys.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    apart = sum(F.bit_count(F.element_at("bu", k + 1).bitwiseXOR(F.element_at("bv", k + 1))) for k in range(PARITY)).cast("long")
+    close = apart * (t.denominator + t.numerator) <= (F.col("nu") + F.col("nv")) * (t.denominator - t.numerator)
+    pairs = durable(pairs.join(part("u"), "u").join(part("v"), "v").where(close).select("u", "v"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys.select("fp", "key"), "fp")
     found = needed.join(texts, "key").select("fp", "text").dropDuplicates(["fp"])
     sets = durable(found.mapInArrow(run, "fp long, s array<bigint>"))
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
@@ -407,24 +416,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = sent.value
         for b in batches:
-            fps, sizes, firsts = [], [], []
+            fps, sizes, firsts, bits = [], [], [], []
             for x in b.column(2):
                 s = shingles(x.as_buffer().to_pybytes(), shingle, seed)
                 fps.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), seed), "big", signed=True))
                 sizes.append(s.size)
+                odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 first = s.size - -(-s.size * t.numerator // t.denominator) + 1 if s.size else 0
                 if hashes.size:
                     at = np.minimum(np.searchsorted(hashes, s), hashes.size - 1)
                     s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
                 firsts.append(s[:first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "fp", "n", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "key", "fp", "n", "first", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, n long, first array<bigint>")
+    rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, n long, first array<bigint>, bits array<bigint>")
     rows = durable(rows.withColumnRenamed("id", id_col))
     # texts of one set are one node; any of them stands for it
-    keys = rows.groupBy("fp").agg(F.min("key").alias("key"))
-    nodes = rows.dropDuplicates(["fp"]).select("fp", "n", F.posexplode("first").alias("p", "s"))
+    keys = durable(rows.groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    nodes = rows.select("fp", "n", "first").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("first").alias("p", "s"))
     out = "late long, u long, v long, n long, p long"
 
     def dealt(members: DataFrame) -> DataFrame:

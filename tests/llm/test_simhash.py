@@ -243,3 +243,22 @@ def test_near_copies_are_verified_against_all_pairs(spark, tiny_batches):
     want = similar_classes(rows)
     assert 40 < len(set(want.values())) < len(rows) - 10
     assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
+
+
+def test_near_copies_find_appended_truncated_and_replaced_passages(spark):
+    rng = random.Random(12)
+    words = ["w%d" % min(int(rng.paretovariate(0.9)), 20_000) for _ in range(40_000)]
+    rows = []
+    for size in (120, 300, 1000):
+        for g in range(36):
+            text, more = ([rng.choice(words) for _ in range(n)] for n in (size, size // 5))
+            at, tenth = rng.randrange(size // 2), size // 10
+            copy = [text + more, text[: size - size // 6], text[:at] + more[: tenth - 4] + text[at + tenth - 4 :]][g % 3]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    want, sets = similar_classes(rows), sets_of(rows)
+    close = [i for i in range(0, len(rows), 2) if jaccard(sets[i], sets[i + 1]) >= 0.8]
+    assert len(close) > 90
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert all(got[i] == got[i + 1] for i in close)
+    assert got == want
