@@ -323,25 +323,42 @@ def to_wkb(g):
 
 
 def jenks(values: list[float], counts: list[float], k_classes: int) -> list[float]:
-    """Upper bounds of the k classes of least squared deviation over sorted distinct values (Fisher's exact method)."""
+    """Upper bounds of the k classes of least squared deviation over sorted distinct values (Fisher's exact method).
+
+    The first of the best cuts never moves left as values are added, so a class
+    takes m log m steps: the middle value's cut bounds those on either side.
+    """
     import numpy as np
 
-    v, n = np.asarray(values, float), np.asarray(counts, float)
+    v, n = np.asarray(values, float), np.asarray(counts, np.longdouble)
     m = len(v)
     k_classes = min(k_classes, m)
-    w, s, q = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * v)], np.r_[0, np.cumsum(n * v * v)]
-    best, cut_at_ = np.full((k_classes + 1, m + 1), math.inf), np.zeros((k_classes + 1, m + 1), int)
-    best[0, 0] = 0
+    # sums about the median in extended precision, as far values would swamp the rest
+    x = v.astype(np.longdouble) - v[m // 2] if m else v.astype(np.longdouble)
+    w, s, q = (np.r_[np.longdouble(0), np.cumsum(y)] for y in (n, n * x, n * x * x))
+    best, cuts = np.full(m + 1, np.inf, np.longdouble), []
+    best[0] = 0
     for c in range(1, k_classes + 1):
-        for j in range(c, m + 1):
-            i = np.arange(c - 1, j)
-            cost = best[c - 1, i] + (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (w[j] - w[i])
-            a = int(cost.argmin())
-            best[c, j], cut_at_[c, j] = cost[a], i[a]
+        now, cut_at_ = np.full(m + 1, np.inf, np.longdouble), np.zeros(m + 1, np.int64)
+        first, last, low, high = (np.array([y]) for y in (c, m, c - 1, m - 1))
+        while first.size:
+            j = (first + last) // 2
+            size = np.minimum(high, j - 1) - low + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) + np.repeat(low - start, size)
+            e = np.repeat(j, size)
+            cost = best[i] + (q[e] - q[i]) - (s[e] - s[i]) ** 2 / (w[e] - w[i])
+            now[j] = np.minimum.reduceat(cost, start)
+            cut_at_[j] = at = np.minimum.reduceat(np.where(cost == now[e], i, m), start)
+            first, last, low, high = np.r_[first, j + 1], np.r_[j - 1, last], np.r_[low, at], np.r_[at, high]
+            some = first <= last
+            first, last, low, high = first[some], last[some], low[some], high[some]
+        best = now
+        cuts.append(cut_at_)
     out, j = [], m
-    for c in range(k_classes, 0, -1):
+    for cut_at_ in reversed(cuts):
         out.append(float(v[j - 1]))
-        j = cut_at_[c, j]
+        j = cut_at_[j]
     return out[::-1]
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from geoengine.functions.kernels import jenks
 
 
-def create_bins(df: DataFrame, column: str, k: int = 5, scheme: str = "quantiles", max_unique: int = 20_000) -> list[float]:
+def create_bins(df: DataFrame, column: str, k: int = 5, scheme: str = "quantiles") -> list[float]:
     """Upper class bounds, the maximum last: distinct quantiles, natural breaks, or the distinct values if there are no more than k.
 
-    Natural breaks are exact over at most ``max_unique`` distinct values; more are first rounded to that many equal steps.
+    Natural breaks are exact over all distinct values, which the driver takes with their counts.
     """
     values = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("v"))
     few = [r.v for r in values.select("v").distinct().limit(k + 1).collect()]
@@ -22,13 +22,8 @@ def create_bins(df: DataFrame, column: str, k: int = 5, scheme: str = "quantiles
         return sorted(set(p))
     if scheme != "jenks":
         raise ValueError(f"no such scheme: {scheme}")
-    counted = values.groupBy("v").count()
-    if counted.limit(max_unique + 1).count() > max_unique:
-        r = values.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
-        step = (r.b - r.a) / (max_unique - 1)
-        counted = values.groupBy((F.round((F.col("v") - r.a) / step) * step + r.a).alias("v")).count()
-    rows = sorted((r.v, r["count"]) for r in counted.collect())
-    return jenks([v for v, _ in rows], [n for _, n in rows], k)
+    rows = values.groupBy("v").count().toPandas().sort_values("v")
+    return jenks(rows["v"].to_numpy(), rows["count"].to_numpy(), k)
 
 
 def classify_from_bins(column: str | Column, bins: list[float]) -> Column:

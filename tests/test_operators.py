@@ -419,3 +419,22 @@ def test_constructors(spark):
     assert constructors.to_shapely(both).select(g.area("geometry")).first()[0] == pytest.approx(2)
     assert tuple(constructors.to_bbox(both).first()) == (0, 0, 2, 1)
     assert constructors.coordinate_array(both).count() == 10
+
+
+def test_natural_breaks_of_many_skewed_values(spark):
+    import itertools
+
+    low, high = F.col("id") / 150, 900 + (F.col("id") - 15_000) / 150
+    df = spark.range(30_000).select(F.when(F.col("id") < 15_000, low).otherwise(high).alias("v")).unionByName(spark.createDataFrame([(1e9,)], "v double"))
+    assert classify.create_bins(df, "v", 3, "jenks") == [14_999 / 150, 900 + 14_999 / 150, 1e9]
+    rng = random.Random(3)
+    for _ in range(20):
+        v = sorted(rng.sample(range(1000), 11))
+        n = [rng.randint(1, 9) for _ in v]
+
+        def loss(a, b):
+            mean = sum(x * y for x, y in zip(v[a:b], n[a:b])) / sum(n[a:b])
+            return sum(y * (x - mean) ** 2 for x, y in zip(v[a:b], n[a:b]))
+
+        cuts = min(itertools.combinations(range(1, 11), 3), key=lambda c: sum(loss(a, b) for a, b in zip((0, *c), (*c, 11))))
+        assert k.jenks(v, n, 4) == [v[c - 1] for c in cuts] + [v[-1]]
