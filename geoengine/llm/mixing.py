@@ -11,7 +11,8 @@ documents. The ratio target / size says how often the source is taken: its
 whole number of times every block (an epoch each), and for the rest the first
 blocks of a keyed permutation of the block numbers, which needs no sort: the
 permutation is arithmetic on k bits. The last block is filled to the word by
-documents in order of falling size, each taken if it still fits. Prefix sums
+documents in order of falling size, each taken if it still fits; the room that
+it leaves goes on to the next ``CARRY`` blocks in the same way. Prefix sums
 over groups of 1024 blocks, then over the blocks of one group, find that block,
 so no window sees more than 1024 rows a source for 2^20 blocks.
 
@@ -27,9 +28,10 @@ the rows are shuffled locally by a keyed hash.
 All choices are functions of the seed, source, doc_id and size: reruns agree,
 and a recomputed task makes the same rows.
 
-Nulls: a null text has size 0; null sources are one source, the last; a null
-doc_id is hashed like an id. Repeated rows share a block and are all taken or
-all left. Documents of size 0 are taken in the whole epochs only, and count
+Ids may be of any type; they count by their hash. Nulls: a null text has size 0;
+null sources are one source, the last; rows of null doc_id are hashed by their
+text, so they spread over the blocks too. Repeated rows share a block and are
+all taken or all left. Documents of size 0 are taken in the whole epochs only, and count
 nothing. A source of size 0 has target 0. An empty table gives an empty result.
 Input columns keep their names in ``mix``; helper columns start with ``__m_``.
 """
@@ -45,6 +47,10 @@ from geoengine.session import durable
 #: Source tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 GROUP_BITS = 10
+#: Blocks after the partly taken one that may fill what room it leaves.
+CARRY = 3
+#: Words of one output partition of ``mix``, about 64 MB of text.
+PARTITION_WORDS = 8_000_000
 
 
 def words(text_col: str = "text") -> Column:
@@ -52,6 +58,11 @@ def words(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(id_col: str, text_col: str, seed: int) -> Column:
+    """What a row is dealt by: the hash of its id, or of its text if it has none."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+
+
 def small(df: DataFrame) -> DataFrame:
     """The frame, marked for broadcast if its number of rows is within the bound."""
     return F.broadcast(df) if size_within(df, BROADCAST_SOURCES) else df
@@ -170,9 +181,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(sources, filled): what decides which documents are drawn, both small.
 
     sources: a row a source with its size, target, blocks and the shard ends.
-    filled: the documents taken from each source's last, partly taken block, once for each draw of it.
+    filled: the documents taken from each source's last blocks, which are not taken whole.
     """
-    sized = durable(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), words(text_col).alias("size")))
+    sized = durable(docs.select(F.col(source_col).alias("source"), row_key(id_col, text_col, seed).alias("h"), words(text_col).alias("size")))
     counted = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = durable(
@@ -196,53 +207,66 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("w").over(ahead("rank")), F.lit(0).cast("long")))
     last = inside.where("start <= want").groupBy("source").agg(F.max_by(F.struct("rank", "start"), "rank").alias("e")).select("source", F.col("e.rank").alias("full"), F.col("e.start").alias("start"))
     sources = by_source(base, last)
-    # the partly taken block: documents by falling size, each taken if all its repeats still fit
-    rest = placed.join(small(last.withColumnRenamed("source", "__s")), placed["source"].eqNullSafe(F.col("__s")) & (F.col("rank") == F.col("full"))).drop("__s")
-    rest = by_source(rest.select("source", "id", "size", "start"), want).where("size > 0").groupBy("source", "want", "start", "id", "size").agg(F.count("*").alias("n"))
-    room = F.struct((F.col("want") - F.col("start")).alias("room"), F.array().cast("array<struct<id:bigint,size:bigint>>").alias("out"))
-    listed = F.sort_array(F.collect_list(F.struct((F.col("size") * F.col("n")).alias("w"), F.xxhash64(F.lit(seed + 1), "id").alias("h"), F.col("id").cast("long").alias("id"), "size")), asc=False)
+    # the blocks not taken whole: documents by falling size, each taken if all its repeats still fit
+    late = F.col("rank").between(F.col("full"), F.col("full") + CARRY)
+    rest = placed.join(small(last.withColumnRenamed("source", "__s")), placed["source"].eqNullSafe(F.col("__s")) & late).drop("__s")
+    rest = by_source(rest.select("source", (F.col("full") - F.col("rank")).alias("later"), "h", "size", "start"), want).where("size > 0").groupBy("source", "want", "start", "later", "h", "size").agg(F.count("*").alias("n"))
+    room = F.struct((F.col("want") - F.col("start")).alias("room"), F.array().cast("array<struct<h:bigint,size:bigint>>").alias("out"))
+    listed = F.sort_array(F.collect_list(F.struct("later", (F.col("size") * F.col("n")).alias("w"), F.xxhash64(F.lit(seed + 1), "h").alias("o"), "h", "size")), asc=False)
 
     def fit(s: Column, d: Column) -> Column:
         takes = d["w"] <= s["room"]
-        return F.struct(F.when(takes, s["room"] - d["w"]).otherwise(s["room"]).alias("room"), F.when(takes, F.array_append(s["out"], F.struct(d["id"].alias("id"), d["size"].alias("size")))).otherwise(s["out"]).alias("out"))
+        return F.struct(F.when(takes, s["room"] - d["w"]).otherwise(s["room"]).alias("room"), F.when(takes, F.array_append(s["out"], F.struct(d["h"].alias("h"), d["size"].alias("size")))).otherwise(s["out"]).alias("out"))
 
-    filled = rest.groupBy("source", "want", "start").agg(listed.alias("d")).select("source", F.explode(F.aggregate("d", room, fit, lambda s: s["out"])).alias("d")).select("source", "d.id", "d.size")
-    # draws: whole blocks, the partly taken one included
+    filled = rest.groupBy("source", "want", "start").agg(listed.alias("d")).select("source", F.explode(F.aggregate("d", room, fit, lambda s: s["out"])).alias("d")).select("source", "d.h", "d.size")
+    # draws: whole blocks, those of the last ones included
     depth = max(0, (shards - 1).bit_length())
     numbered = sources.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    numbered = durable(numbered.withColumn("draws", F.col("epochs") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) + F.col("full") + 1))
+    blocks_of = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
+    numbered = durable(numbered.withColumn("draws", F.col("epochs") * blocks_of + F.least(F.col("full") + 1 + CARRY, F.greatest(F.col("full") + 1, blocks_of))))
     split = shard_counts(numbered.select("k", "draws"), depth, seed)
     return durable(numbered.join(split, "k").drop("k")), durable(filled)
 
 
 def _placed(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Rows of (source, id, size) with their source's columns and the rank of their block."""
+    """Rows of (source, h, size) with their source's columns and the rank of their block."""
     columns = sources.withColumnRenamed("source", "__s")
     joined = sized.join(columns, sized["source"].eqNullSafe(F.col("__s"))).drop("__s")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    block = F.xxhash64(F.lit(seed), "id").bitwiseAND(mask)
+    block = F.col("h").bitwiseAND(mask)
     return joined.withColumn("rank", _permuted(block, F.col("bits"), F.col("key")))
 
 
 def draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
-    """``docs`` with __m_size, __m_source_size, __m_target and __m_shards: the shard of each of the document's draws, one entry for each time it is taken."""
-    sources, filled = plan(docs, id_col, text_col, source_col, seed=seed, **options)
+    """``docs`` with __m_size, __m_source_size, __m_target, __m_key and __m_shards: the shard of each of the document's draws, one entry for each time it is taken."""
+    return _drawn(docs, *plan(docs, id_col, text_col, source_col, seed=seed, **options), id_col, text_col, source_col, seed)
+
+
+def _drawn(docs: DataFrame, sources: DataFrame, filled: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__m_row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), words(text_col).alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__m_row"), F.col(source_col).alias("source"), row_key(id_col, text_col, seed).alias("h"), words(text_col).alias("size"))
     placed = _placed(rows, small(sources), seed)
-    extra = small(filled.select(F.col("source").alias("__fs"), F.col("id").alias("__fi"), F.col("size").alias("__fz"), F.lit(True).alias("__fits")))
-    placed = placed.join(extra, placed["source"].eqNullSafe(F.col("__fs")) & placed["id"].eqNullSafe(F.col("__fi")) & (placed["size"] == F.col("__fz")), "left")
+    extra = small(filled.select(F.col("source").alias("__fs"), F.col("h").alias("__fh"), F.col("size").alias("__fz"), F.lit(True).alias("__fits")))
+    placed = placed.join(extra, placed["source"].eqNullSafe(F.col("__fs")) & (placed["h"] == F.col("__fh")) & (placed["size"] == F.col("__fz")), "left")
     taken = F.col("epochs") + F.when((F.col("rank") < F.col("full")) | F.col("__fits"), 1).otherwise(0)
     size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
     shard = lambda e: F.size(F.filter("ends", lambda end: end <= e * size + F.col("rank")))
     shards = F.when(taken > 0, F.transform(F.sequence(F.lit(0).cast("long"), taken.cast("long") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return placed.select("__m_row.*", F.col("size").alias("__m_size"), F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"), shards.alias("__m_shards"))
+    return placed.select("__m_row.*", F.col("size").alias("__m_size"), F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"), shards.alias("__m_shards"), F.col("h").alias("__m_key"))
+
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shards: int = 16, **options) -> DataFrame:
+    """The mixed rows with the columns of ``docs``: each document as often as it is drawn, dealt to its shards and shuffled in each.
 
-def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = 17, shards: int = 16, **options) -> DataFrame:
-    """The mixed rows with the columns of ``docs``: each document as often as it is drawn, dealt to its shards and shuffled in each."""
-    drawn = draws(docs, id_col, seed=seed, shards=shards, **options)
-    rows = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("__m_shards").alias("__m_epoch", "__m_shard"))
-    # a shard is several partitions' worth at scale: its rows are dealt by a keyed hash as well
-    order = F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col("__m_epoch"))
-    return rows.repartition("__m_shard", F.pmod(order, F.lit(16))).sortWithinPartitions("__m_shard", order).drop("__m_epoch", "__m_shard")
+    A shard is cut by a keyed hash into as many parts as its words ask for, so
+    partitions hold about ``PARTITION_WORDS`` words at any size of the input.
+    """
+    sources, filled = plan(docs, id_col, text_col, source_col, seed=seed, shards=shards, **options)
+    drawn = _drawn(docs, sources, filled, id_col, text_col, source_col, seed)
+    # the targets sum to the sizes of all sources
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(sources.agg(F.sum("source_size")).first()[0] or 0) // PARTITION_WORDS))
+    rows = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode("__m_shards").alias("__m_epoch", "__m_shard"), F.col("__m_key"))
+    order = F.xxhash64(F.lit(seed + 2), F.col("__m_key"), F.col("__m_epoch"))
+    # many more keys than partitions, so that hashing the keys fills partitions alike
+    rows = rows.repartition(parts, "__m_shard", F.pmod(order, F.lit(max(16, 64 * parts // shards))))
+    return rows.sortWithinPartitions("__m_shard", order).drop("__m_epoch", "__m_shard", "__m_key")

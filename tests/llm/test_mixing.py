@@ -84,3 +84,30 @@ def test_empty_and_sizeless(spark):
     assert mixing.draws(spark.createDataFrame([], SCHEMA)).collect() == []
     out = mixing.draws(spark.createDataFrame([(1, None, "A", 0, ""), (2, " ", None, 0, "")], SCHEMA)).collect()
     assert [(r["__m_size"], r["__m_target"]) for r in out] == [(0, 0.0), (0, 0.0)]
+
+
+def test_ids_of_any_type_and_without_ids(spark):
+    df, rows = make(spark)
+    named = df.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    out = mixing.draws(named, block_docs=16, shards=4).collect()
+    assert len(out) == len(rows) and any(r["__m_shards"] for r in out)
+    # rows without an id are dealt by their texts, not into one block
+    none = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 300, "A").otherwise("B").alias("source"))
+    sources, _ = mixing.plan(none, block_docs=16, shards=4)
+    keyed = none.select("source", mixing.row_key("doc_id", "text", 17).alias("h"), F.lit(2).alias("size"))
+    per = [r["count"] for r in mixing._placed(keyed, sources, 17).groupBy("source", "rank").count().collect()]
+    assert len(per) > 30 and max(per) < 40
+    taken = {s: 0 for s in "AB"}
+    for r in mixing.draws(none, block_docs=16, shards=4).collect():
+        taken[r.source] += 2 * len(r["__m_shards"])
+    assert taken == {"A": 400, "B": 800}
+
+
+def test_room_of_the_last_block_goes_on(spark):
+    # one document of the source is far larger than a block's share; small ones of later blocks fill the room
+    rows = [(i, "w " * (400 if i % 8 == 0 else 1 + i % 3), "A") for i in range(512)] + [(1000 + i, "w " * 60, "B") for i in range(512)]
+    out = mixing.draws(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_docs=8, shards=4).collect()
+    for s in "AB":
+        mine = [r for r in out if r.source == s]
+        taken = sum(r["__m_size"] * len(r["__m_shards"]) for r in mine)
+        assert abs(taken - mine[0]["__m_target"]) <= 60
