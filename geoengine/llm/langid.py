@@ -9,14 +9,21 @@ the text's vector, ties to the smaller language; the score is that cosine,
 at least 0.
 
 Letters are Unicode letters, lower-cased; a run of other characters is one
-boundary. a-z have a class each, other letters share 37 classes by code point
-(the accented letters of Latin-1 all differ).
+boundary. a-z have a class each, other letters share 997 classes by code point,
+so the letters of an alphabet all differ, and ideographs share.
 
 Counts of trigrams per text are exact, and one matrix product turns counts into
 vectors, for a small group of texts at a time: memory does not grow with a text
 or a batch. Prototypes come from all training texts: tasks add up counts per
 language and send one vector per language each.
 
+How close a text can be expected to come grows with its length: n trigrams drawn
+from a language whose trigrams agree by chance with probability q have a cosine
+of about sqrt(nq / (1 + nq)) to its prototype, and q is the prototype's squared
+length over dims and the square of its trigrams. ``keep_known`` asks for a share
+of that, less the noise of a cosine in so many dimensions, so that one rule holds
+for all lengths.
+
 A null text or one without letters gives ``und`` with score 0, as does any text
 if nothing was learned; texts of null language teach nothing. Null ids count as
 the empty text for the hold-out rule. Empty tables give empty results, repeated
@@ -26,6 +33,7 @@ rows repeated results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -33,24 +41,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoengine.llm.common import batch_of, id_remainder
+from geoengine.llm.common import id_remainder
 
 UNKNOWN = "und"
-CLASSES = 64
-SHIFT = 6
+DIMS = 1024
+CLASSES = 1024
+SHIFT = 10
 #: Texts whose counts are multiplied together, and trigram vectors held at once.
 GROUP, ROWS = 64, 8192
+BATCH = 1024
+#: Counted trigrams of a language that wait in a training task to be added up.
+WAITING = 1 << 20
 
 
 @cache
 def classes() -> np.ndarray:
-    """Class of every code point: 0 is no letter, 1-26 a-z, 27-63 other letters."""
-    table = np.zeros(0x110000, np.uint8)
+    """Class of every code point: 0 is no letter, 1-26 a-z, 27-1023 other letters."""
+    table = np.zeros(0x110000, np.uint16)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = ord(c.lower()[0])
-            table[i] = low - 96 if 97 <= low <= 122 else 27 + low % 37
+            table[i] = low - 96 if 97 <= low <= 122 else 27 + low % 997
     return table
 
 
@@ -68,6 +80,23 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[starts], np.diff(np.r_[starts, codes.size])
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of several counted texts and the sums of their counts."""
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    total = np.zeros(codes.size, np.int64)
+    np.add.at(total, place, np.concatenate([n for _, n in parts]))
+    return codes, total
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    #: a prototype for each language, scaled to length 1
+    unit: np.ndarray
+    #: the probability that two trigrams of the language are the same
+    alike: np.ndarray
+
+
 class Space:
     """The letter vectors and the products with trigram vectors."""
 
@@ -94,66 +123,71 @@ class Space:
         return out
 
 
-def prototypes(docs: DataFrame, train, text_col: str = "text", lang_col: str = "lang", dims: int = 512, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from the rows that satisfy ``train``."""
+def prototypes(docs: DataFrame, train, text_col: str = "text", lang_col: str = "lang", dims: int = DIMS, seed: int = 5) -> Model:
+    """Languages in order with their prototypes, from the rows that satisfy ``train``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, sums = Space(dims, seed), {}
+        space, parts, waiting = Space(dims, seed), {}, {}
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-                codes, counts = trigrams(text.as_py())
-                if codes.size:
-                    if lang not in sums:
-                        sums[lang] = np.zeros(CLASSES**3, np.int64)
-                    sums[lang][codes] += counts
-        for lang, total in sums.items():
-            codes = np.flatnonzero(total).astype(np.int32)
+                counted = trigrams(text.as_py())
+                if counted[0].size:
+                    parts.setdefault(lang, []).append(counted)
+                    waiting[lang] = waiting.get(lang, 0) + counted[0].size
+                    if waiting[lang] > WAITING and len(parts[lang]) > 1:
+                        parts[lang], waiting[lang] = [added(parts[lang])], 0
+        for lang, own in parts.items():
+            codes, total = added(own)
             # integers throughout: a prototype does not depend on how rows were dealt
             vector = np.zeros(dims, np.int64)
             for k in range(0, codes.size, ROWS):
-                part = codes[k : k + ROWS]
-                vector += (space.vectors(part).astype(np.int64) * total[part][:, None]).sum(axis=0)
-            yield batch_of(lang=[lang] * dims, i=np.arange(dims), x=vector)
+                vector += (space.vectors(codes[k : k + ROWS]).astype(np.int64) * total[k : k + ROWS][:, None]).sum(axis=0)
+            sent = np.r_[vector, total.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * sent.size, pa.string()), pa.array(np.arange(sent.size)), pa.array(sent)], names=["lang", "i", "x"])
 
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sums = rows.mapInArrow(run, "lang string, i long, x long").groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("lang").collect()
-    langs = sorted(r.lang for r in sums)
-    by = {r.lang: [p.x for p in r.v] for r in sums}
-    return langs, np.array([by[x] for x in langs], np.float64).reshape(len(langs), dims)
+    # a row for each language and dimension
+    got = rows.mapInArrow(run, "lang string, i long, x long").groupBy("lang", "i").agg(F.sum("x").alias("x")).toPandas().sort_values(["lang", "i"])
+    langs = sorted(set(got.lang))
+    sums = got.x.to_numpy(np.float64).reshape(len(langs), dims + 1)
+    length = np.maximum(np.linalg.norm(sums[:, :dims], axis=1), 1e-300)
+    return Model(langs, sums[:, :dims] / length[:, None], length**2 / dims / np.maximum(sums[:, dims], 1) ** 2)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", dims: int = 512, seed: int = 5, keep_row: bool = False) -> DataFrame:
-    """id, lang_pred, score, trigrams (how many the text has) for each row; with ``keep_row``, the row's columns followed by __lang, __score and __trigrams."""
-    langs, protos = model
-    sent = docs.sparkSession.sparkContext.broadcast((langs, protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-300)))
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", dims: int = DIMS, seed: int = 5, keep_row: bool = False) -> DataFrame:
+    """id, lang_pred, score, trigrams (how many the text has), expected (the cosine of so many trigrams of that language) for each row; with ``keep_row``, the row's columns followed by __lang, __score, __trigrams and __expected."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
-        langs, unit = sent.value
-        space = Space(dims, seed)
-        out_l, out_s, out_n = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    def scored(space: Space, texts: list[str | None]) -> tuple[list[str], list[float], list[int], list[float]]:
+        m = sent.value
+        out_l, out_s, out_n, out_e = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts)
         for k in range(0, len(texts), GROUP):
             counted = [(i, trigrams(t)) for i, t in enumerate(texts[k : k + GROUP], k) if t]
             counted = [(i, c) for i, c in counted if c[0].size]
             for i, c in counted:
                 out_n[i] = int(c[1].sum())
-            if not counted or not langs:
+            if not counted or not m.langs:
                 continue
             v = space.bundle([c for _, c in counted])
-            cosine = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            cosine = v @ m.unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
             for (i, _), j, c in zip(counted, cosine.argmax(axis=1).tolist(), cosine):
-                out_l[i], out_s[i] = langs[j], float(min(1.0, max(0.0, c[j])))
-        return out_l, out_s, out_n
+                out_l[i], out_s[i] = m.langs[j], float(min(1.0, max(0.0, c[j])))
+                out_e[i] = float(np.sqrt(out_n[i] * m.alike[j] / (1 + out_n[i] * m.alike[j])))
+        return out_l, out_s, out_n, out_e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = Space(dims, seed)
         for b in batches:
             n = b.num_columns - 1
-            lang, score, size = scored(b.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int64())], names=[f"c{i}" for i in range(n)] + ["lang", "score", "trigrams"])
+            for k in range(0, b.num_rows, BATCH):
+                part = b.slice(k, BATCH)
+                lang, score, size, expected = scored(space, part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int64()), pa.array(expected, pa.float64())], names=[f"c{i}" for i in range(n)] + ["lang", "score", "trigrams", "expected"])
 
     kept = docs.columns if keep_row else [id_col]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("__text"))
-    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + ["lang string", "score double", "trigrams long"])
-    names = [*kept, "__lang", "__score", "__trigrams"] if keep_row else [id_col, "lang_pred", "score", "trigrams"]
+    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + ["lang string", "score double", "trigrams long", "expected double"])
+    names = [*kept, "__lang", "__score", "__trigrams", "__expected"] if keep_row else [id_col, "lang_pred", "score", "trigrams", "expected"]
     return inner.mapInArrow(run, schema).toDF(*names)
 
 
@@ -164,12 +198,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", folds: int = 5, **options)
     return got.select(id_col, (id_remainder(id_col, folds) == 0).alias("held_out"), "lang_pred", "score", "trigrams")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.25, min_trigrams: int = 200, id_col: str = "doc_id", folds: int = 5, **options) -> DataFrame:
+def keep_known(docs: DataFrame, min_share: float = 0.35, errors: float = 2.0, id_col: str = "doc_id", folds: int = 5, dims: int = DIMS, **options) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is close enough to a learned language.
 
-    A cosine says little about a short text: one of fewer than ``min_trigrams`` trigrams stays if it has letters.
+    A text goes if its cosine is below ``min_share`` of what is expected of its
+    length by more than ``errors`` standard errors of a cosine in ``dims`` dimensions.
     """
-    model = prototypes(docs, id_remainder(id_col, folds) != 0, **options)
-    got = predict(docs, model, id_col, keep_row=True, **options)
-    near = (F.col("__lang") != UNKNOWN) & ((F.col("__trigrams") < min_trigrams) | (F.col("__score") >= min_score))
-    return got.where(near).drop("__lang", "__score", "__trigrams")
+    model = prototypes(docs, id_remainder(id_col, folds) != 0, dims=dims, **options)
+    got = predict(docs, model, id_col, dims=dims, keep_row=True, **options)
+    near = (F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_share * F.col("__expected") - errors / dims**0.5)
+    return got.where(near).drop("__lang", "__score", "__trigrams", "__expected")

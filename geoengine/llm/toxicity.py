@@ -18,8 +18,8 @@ that over r, and a logistic fit on the training texts turns it into a
 probability.
 
 The classifier is fitted on at most ``max_labelled`` labelled texts, those with
-the smallest hash of their id, and keeps at most ``max_tokens`` keys, those
-that score furthest from zero. Scoring covers whole texts of all rows.
+the smallest hash of their id, and keeps every key of theirs that scores.
+Scoring covers whole texts of all rows.
 
 Labels: rows of null id or null label don't count; an id with several labels is
 toxic if one of them says so. A null text is the empty text; a text without
@@ -161,7 +161,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_labelled:
     return docs.select(F.col(id_col).alias("__i"), utf8(text_col).alias("text")).join(F.broadcast(some), F.col("__i") == F.col("__id")).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_labelled: int = 20_000, max_tokens: int = 100_000, prior: float = 0.01, z: float = 3.0, drift: float = 0.2, max_expected: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_labelled: int = 20_000, prior: float = 0.01, z: float = 3.0, drift: float = 0.2, max_expected: float = 0.05) -> Model:
     rows = durable(training_rows(docs, labels, folds, max_labelled, id_col, text_col, label_col))
     model = Model(scores=Scores({}, drift), max_expected=max_expected)
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -190,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("t") + a) / (n_t + strength)) - F.log((F.col("o") + a) / (n_o + strength))
     error = z * F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("o") + a))
     sure = F.when(odds > error, odds - error).when(odds < -error, odds + error)
-    kept = counts.withColumn("s", sure).where("s is not null").orderBy(F.abs("s").desc(), "token").limit(max_tokens).select("token", "s").collect()
-    model.scores = Scores({bytes(r.token): min(r.s, 20.0) if r.s > 0 else min(r.s, -drift) for r in kept}, drift)
+    # as many keys as the labelled sample gives
+    kept = counts.withColumn("s", sure).where("s is not null").select("token", "s").toArrow()
+    model.scores = Scores({k: x if x > 0 else min(x, -drift) for k, x in zip(kept["token"].to_pylist(), kept["s"].to_pylist())}, drift)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     null = rows.where("label <= 0").select("text")
 

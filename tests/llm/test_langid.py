@@ -57,7 +57,48 @@ def test_same_prototypes_for_any_dealing(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     a = langid.prototypes(df.repartition(1), F.lit(True))
     b = langid.prototypes(df.repartition(5), F.lit(True))
-    assert a[0] == b[0] == ["de", "en"] and (a[1] == b[1]).all()
+    assert a.langs == b.langs == ["de", "en"] and (a.unit == b.unit).all() and (a.alike == b.alike).all()
+
+
+def test_alphabets_do_not_share_classes():
+    for alphabet in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "אבגדהוזחטיכלמנסעפצקרשת", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"):
+        assert len({int(langid.classes()[ord(c)]) for c in alphabet}) == len(alphabet)
+    assert langid.classes()[ord("Ж")] == langid.classes()[ord("ж")] != langid.classes()[ord("é")]
+
+
+def test_other_scripts_and_ties(spark):
+    ru, el = "съешь же ещё этих мягких французских булок да выпей чаю", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία με πολλή χαρά και τόλμη"
+    data = [(i, " ".join(np.random.default_rng(i).permutation((ru if i % 2 else el).split())), "ru" if i % 2 else "el", "") for i in range(40)]
+    out = langid.identify(spark.createDataFrame(data, SCHEMA)).collect()
+    assert all(r.lang_pred == data[r.doc_id][2] for r in out)
+    # two languages of the same texts tie; the smaller name wins
+    same = [(i, EN, "xb" if i % 2 else "xa", "") for i in range(1, 9) for _ in range(2)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(same, SCHEMA)
+    got = langid.predict(df, langid.prototypes(df, F.lit(True))).collect()
+    assert {r.lang_pred for r in got} == {"xa"}
+
+
+def test_expected_cosine_grows_with_length(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows()[:60], SCHEMA)
+    model = langid.prototypes(df, F.lit(True))
+    texts = spark.createDataFrame([(n, EN[: 4 * n], "", "") for n in range(1, 20)], SCHEMA)
+    got = sorted(langid.predict(texts, model).collect(), key=lambda r: r.trigrams)
+    assert all(a.expected < b.expected for a, b in zip(got, got[1:]))
+    assert all(r.score >= 0.35 * r.expected - 2 / langid.DIMS**0.5 for r in got)
+
+
+def test_short_and_long_texts_of_no_language_are_judged_alike(spark):
+    rng = np.random.default_rng(0)
+    noise = lambda n: " ".join("".join(rng.choice(list("qxzwjkv"), 6)) for _ in range(n))
+    junk = [(1000 + n, noise(n), None, "") for n in (25, 40, 80, 200, 2000)]
+    plain = [(2000 + n, " ".join(EN.split()[:n]), None, "") for n in (1, 2, 3, 5, 8, 13)]
+    df = spark.createDataFrame(rows()[:60] + junk + plain, SCHEMA)
+    kept = {r.doc_id for r in langid.keep_known(df).collect()}
+    assert kept == {r[0] for r in rows()[:60] + plain}
 
 
 def test_nothing_learned_and_empty(spark):
