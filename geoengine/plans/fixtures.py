@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from geoengine.functions import geometry as g
 from geoengine.session import table
 
-#: Nodes of the road network, and of the sparse one.
-NODES, SPARSE = 50, 3000
+#: Nodes of the road network.
+NODES = 50
 
 
-def px(k: Column, a: int = 0) -> Column:
+def px(k: Column, a: int | Column = 0) -> Column:
     return (k.cast("long") * 7919 + a) % 10007
 
 
-def py(k: Column, b: int = 0) -> Column:
+def py(k: Column, b: int | Column = 0) -> Column:
     return (k.cast("long") * 104729 + b) % 10007
 
 
-def sx(k: str, a: int = 0) -> str:
+def sx(k: str, a: int | str = 0) -> str:
     return f"((cast({k} as bigint) * 7919 + {a}) % 10007)"
 
 
-def sy(k: str, b: int = 0) -> str:
+def sy(k: str, b: int | str = 0) -> str:
     return f"((cast({k} as bigint) * 104729 + {b}) % 10007)"
 
 
@@ -47,15 +47,15 @@ SUPPLIERS = f"(select s_suppkey as sid, {sx('s_suppkey', 11)} as rx, {sy('s_supp
 
 
 def boxes(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
-    """pid, brand, size, x0, y0, x1, y1 and geometry: a box for each part."""
+    """pid, brand, size, x0, y0, x1, y1 and geometry: a box for each part, about the customer of the same number or, for odd parts, 500 units off."""
     p = table(spark, sf, "part")
-    x0, y0 = px(F.col("p_partkey"), 101 + shift), py(F.col("p_partkey"), 57 + shift)
+    x0, y0 = px(F.col("p_partkey"), 10002 + shift), py(F.col("p_partkey"), F.lit(10000 + shift) + 500 * (F.col("p_partkey") % 2))
     b = p.select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + (F.col("p_size").cast("long") * 37) % 120).alias("x1"), (y0 + 10 + (F.col("p_partkey") * 31) % 120).alias("y1"))
     return b.withColumn("geometry", g.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
 
 def boxes_sql(shift: int = 0) -> str:
-    x, y = sx("p_partkey", 101 + shift), sy("p_partkey", 57 + shift)
+    x, y = sx("p_partkey", 10002 + shift), sy("p_partkey", f"{10000 + shift} + 500 * (p_partkey % 2)")
     return f"(select p_partkey as pid, p_brand as brand, cast(p_size as bigint) as size, {x} as x0, {y} as y0, {x} + 10 + (cast(p_size as bigint) * 37) % 120 as x1, {y} + 10 + (p_partkey * 31) % 120 as y1 from part)"
 
 
@@ -85,12 +85,23 @@ DIRECTED = f"""(select edge_id, source, target, drivetime_fw as minutes from {NE
 
 
 def sparse_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """source, target, length: a network of many components."""
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 7 == 0)
-    return o.select((F.col("o_custkey") * 7 % SPARSE).alias("source"), (F.col("o_orderkey") % SPARSE).alias("target"), F.lit(1.0).alias("length"))
+    """source, target, length: chains of orders that follow each other, cut after each eighth customer."""
+    o = table(spark, sf, "orders")
+    to = F.when(F.col("o_custkey") % 8 == 0, F.col("o_orderkey") * 2 + 1).otherwise(F.col("o_orderkey") * 2 + 2)
+    return o.select((F.col("o_orderkey") * 2).alias("source"), to.alias("target"), F.lit(1.0).alias("length"))
+
+
+SPARSE_EDGES = "(select o_orderkey * 2 as source, case when o_custkey % 8 = 0 then o_orderkey * 2 + 1 else o_orderkey * 2 + 2 end as target from orders)"
+
+
+def short_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """oid, ax, ay, bx, by: a segment of up to some 130 units for each order."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(k.alias("oid"), px(k).alias("ax"), py(k).alias("ay"), (k % 89 - 30).alias("dx"), (F.col("o_custkey") % 97 + 5).alias("dy"))
+    return o.select("oid", "ax", "ay", (F.col("ax") + F.col("dx")).alias("bx"), (F.col("ay") + F.col("dy")).alias("by"))
 
 
-SPARSE_EDGES = f"(select o_custkey * 7 % {SPARSE} as source, o_orderkey % {SPARSE} as target from orders where o_orderkey % 7 = 0)"
+SHORT_SEGMENTS = f"(select o_orderkey as oid, {sx('o_orderkey')} as ax, {sy('o_orderkey')} as ay, {sx('o_orderkey')} + o_orderkey % 89 - 30 as bx, {sy('o_orderkey')} + o_custkey % 97 + 5 as by_ from orders)"
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,9 +40,9 @@ def all_holes_closed(spark, sf):
     return donuts(spark, sf).select("pid", g.area(g.close_all_holes("geometry")).alias("area"))
 
 
-@query("thin_holes_closed", f"select pid, {AREA} as area from {B} where pid < 200")
+@query("thin_holes_closed", f"select pid, {AREA} as area from {B}")
 def thin_holes_closed(spark, sf):
-    return overlay.close_thin_holes(donuts(spark, sf).where("pid < 200"), 1.5).select("pid", F.round(g.area("geometry"), 3).alias("area"))
+    return overlay.close_thin_holes(donuts(spark, sf), 1.5).select("pid", F.round(g.area("geometry"), 3).alias("area"))
 
 
 @query("ring_rows", f"select pid, 0 as ring, cast(2 * (x1 - x0 + y1 - y0) as double) as length from {B} union all select pid, 1, 6.0 from {B}")
@@ -88,16 +88,16 @@ def single_geometry_type(spark, sf):
     return constructors.to_single_geom_type(every, "polygon").agg(F.count("*").alias("n"))
 
 
-@query("duplicate_geometries", f"select min(pid) as pid, count(*) as n from {B} where pid < 500 group by x0, y0, x1, y1".replace(", count(*) as n", ""))
+@query("duplicate_geometries", f"select min(pid) as pid from {B} t group by x0, y0, x1, y1")
 def duplicate_geometries(spark, sf):
-    b = fx.boxes(spark, sf).where("pid < 500").select("pid", "geometry")
+    b = fx.boxes(spark, sf).select("pid", "geometry")
     twice = b.unionByName(b.withColumn("pid", F.col("pid") + 1_000_000))
     return overlay.drop_duplicate_geometries(twice, "pid").select("pid")
 
 
-@query("thick_polygons", f"select pid from {B} where pid < 300 and x1 - x0 > 30 and y1 - y0 > 30")
+@query("thick_polygons", f"select pid from {B} where x1 - x0 > 30 and y1 - y0 > 30")
 def thick_polygons(spark, sf):
-    return overlay.split_out_slivers(fx.boxes(spark, sf).where("pid < 300"), 30.0)[0].select("pid")
+    return overlay.split_out_slivers(fx.boxes(spark, sf), 30.0)[0].select("pid")
 
 
 @query("clean_rows", f"select pid, {AREA} as area from {B} where pid % 3 = 0")
@@ -114,12 +114,13 @@ def clipped_to_mask(spark, sf):
     return out.select("pid", F.round(g.area("geometry"), 3).alias("area"))
 
 
-@query("buffered_and_dissolved", f"select brand, count(*) as n from {B} where pid < 400 group by 1".replace(", count(*) as n", ", true as grown"))
+@query("buffered_and_dissolved", f"select size, cast(sum((x1 - x0 + 10) * (y1 - y0 + 10)) as bigint) as area from {B} t group by 1")
 def buffered_and_dissolved(spark, sf):
-    b = fx.boxes(spark, sf).where("pid < 400").select("brand", "geometry")
-    out = overlay.buffdiss(b, 5.0, by="brand", join_style="mitre").select("brand", g.area("geometry").alias("after"))
-    before = b.groupBy("brand").agg(F.max(g.area("geometry")).alias("before"))
-    return out.join(before, "brand").select("brand", (F.col("after") > F.col("before")).alias("grown"))
+    """Boxes far from each other, so that a group's area is the sum of its grown boxes."""
+    far = F.col("pid") * 10_000
+    b = fx.boxes(spark, sf).select("size", g.box(F.col("x0") + far, F.col("y0"), F.col("x1") + far, F.col("y1")).alias("geometry"))
+    out = overlay.buffdiss(b, 5.0, by="size", join_style="mitre")
+    return out.select("size", F.round(g.area("geometry")).cast("long").alias("area"))
 
 
 @query("edge_texts", f"select oid, concat('POINT (', ax, ' ', ay, ')') as source_wkt, concat('POINT (', cx, ' ', cy, ')') as target_wkt from {L}")
@@ -140,9 +141,9 @@ def closed_lines(spark, sf):
     return both.groupBy("closed").agg(F.count("*").alias("n"))
 
 
-@query("moved_line_ends", f"select oid, round(sqrt(cast((bx + 5) * (bx + 5) + (by_ + 5) * (by_ + 5) as double)), 5) as first_part from {L} where oid % 2 = 0")
+@query("moved_line_ends", f"select oid, round(sqrt(cast((bx + 5) * (bx + 5) + (by_ + 5) * (by_ + 5) as double)), 5) as first_part from {L}")
 def moved_line_ends(spark, sf):
-    some = fx.order_lines(spark, sf).where("oid % 2 = 0")
+    some = fx.order_lines(spark, sf)
     mapper = some.select("oid", F.lit(-5.0).alias("x"), F.lit(-5.0).alias("y"))
     moved = lines.change_line_endpoint(some, mapper, "oid")
     s = g.segments("geometry")[0]
@@ -150,23 +151,23 @@ def moved_line_ends(spark, sf):
 
 
 def cross_lines(spark, sf):
-    """A level and an upright line for each of some parts, crossing in the middle, far from the others."""
+    """A level and an upright line for each part, crossing in the middle, far from the others."""
     o = F.col("pid") * 1000
-    p = fx.boxes(spark, sf).where("pid < 300")
+    p = fx.boxes(spark, sf)
     level = p.select((F.col("pid") * 2).alias("id"), g.line(F.array(g.vertex(o, F.lit(50.0)), g.vertex(o + 100, F.lit(50.0)))).alias("geometry"))
     upright = p.select((F.col("pid") * 2 + 1).alias("id"), g.line(F.array(g.vertex(o + 10 + F.col("size"), F.lit(0.0)), g.vertex(o + 10 + F.col("size"), F.lit(100.0)))).alias("geometry"))
     return level.unionByName(upright)
 
 
-@query("lines_split_at_crossings", f"select pid * 2 as id, cast(10 + size as double) as length from {B} where pid < 300 union all select pid * 2, cast(90 - size as double) from {B} where pid < 300 union all select pid * 2 + 1, 50.0 from {B} where pid < 300 union all select pid * 2 + 1, 50.0 from {B} where pid < 300")
+@query("lines_split_at_crossings", f"select pid * 2 as id, cast(10 + size as double) as length from {B} union all select pid * 2, cast(90 - size as double) from {B} union all select pid * 2 + 1, 50.0 from {B} union all select pid * 2 + 1, 50.0 from {B}")
 def lines_split_at_crossings(spark, sf):
     return lines.to_lines(cross_lines(spark, sf), "id").select("id", F.round(g.length("geometry"), 4).alias("length"))
 
 
-@query("lines_split_at_points", f"select pid * 2 as id, 1 as splitted, cast(10 + size as double) as length from {B} where pid < 300 union all select pid * 2, 1, cast(90 - size as double) from {B} where pid < 300")
+@query("lines_split_at_points", f"select pid * 2 as id, 1 as splitted, cast(10 + size as double) as length from {B} union all select pid * 2, 1, cast(90 - size as double) from {B}")
 def lines_split_at_points(spark, sf):
     level = cross_lines(spark, sf).where("id % 2 = 0")
-    points = fx.boxes(spark, sf).where("pid < 300").select((F.col("pid") * 1000 + 10 + F.col("size")).cast("double").alias("x"), F.lit(52.0).alias("y"))
+    points = fx.boxes(spark, sf).select((F.col("pid") * 1000 + 10 + F.col("size")).cast("double").alias("x"), F.lit(52.0).alias("y"))
     out = lines.split_lines_by_nearest_point(level, points, "id", 5.0)
     return out.select("id", "splitted", F.round(g.length("geometry"), 4).alias("length"))
 
@@ -228,9 +229,7 @@ def chunked_function(spark, sf):
 def tiles_in_mask(spark, sf):
     tiles = fx.boxes(spark, sf).select(F.concat(F.lit("tile "), F.col("pid").cast("string"), F.lit(" "), (2000 + F.col("size")).cast("string")).alias("name"), "geometry")
     mask = spark.range(1).select(g.box(F.lit(0), F.lit(0), F.lit(5000), F.lit(5000)).alias("geometry"))
-    # years stand at the end of these names
-    named = tiles.where(F.col("name").rlike("201[0-4]$"))
-    return maps.filter_tiles(named, mask, years=[2010, 2011, 2012, 2013, 2014]).select("name")
+    return maps.filter_tiles(tiles, mask, years=[2010, 2011, 2012, 2013, 2014]).select("name")
 
 
 @query("masked_pixels", f"""select "row", col, case when value % 12 not in (2, 3, 8, 9, 10, 11) then value end as value from {P}""")
@@ -287,23 +286,35 @@ def polygon_predicates(spark, sf):
     return out.where("pid <> other").select("pid", "other")
 
 
-@query("polygons_within", f"select a.pid, b.pid as other from {B} a join {B} b on a.pid <> b.pid and a.x0 >= b.x0 and a.x1 <= b.x1 and a.y0 >= b.y0 and a.y1 <= b.y1")
+@query("polygons_within", f"select a.pid, b.pid as other from {B} a join {B} b on a.x0 + 2 >= b.x0 and a.x1 - 2 <= b.x1 and a.y0 + 2 >= b.y0 and a.y1 - 2 <= b.y1")
 def polygons_within(spark, sf):
-    b = fx.boxes(spark, sf).select("pid", "geometry")
-    out = overlay.geometry_pairs(b, b.withColumnRenamed("pid", "other"), "pid", "other", "within", size=128.0)
-    return out.where("pid <> other").select("pid", "other")
+    """Boxes shrunk by two units, and the boxes that hold them."""
+    b = fx.boxes(spark, sf)
+    small = b.select("pid", g.box(F.col("x0") + 2, F.col("y0") + 2, F.col("x1") - 2, F.col("y1") - 2).alias("geometry"))
+    out = overlay.geometry_pairs(small, b.select(F.col("pid").alias("other"), "geometry"), "pid", "other", "within", size=128.0)
+    return out.select("pid", "other")
 
 
-@query("snapped_everywhere", f"select id, true as snapped from {C} where id < 100")
+@query("snapped_everywhere", f"""with t as (select id, x, y, ax, ay, bx, by_, cast((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as double) as size from {C} c, {fx.SHORT_SEGMENTS} s where x between least(ax, bx) - 300 and greatest(ax, bx) + 300 and y between least(ay, by_) - 300 and greatest(ay, by_) + 300),
+u as (select *, case when size = 0 then 0.0 else least(1.0, greatest(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / size)) end as f from t),
+d as (select id, sqrt(pow(x - (ax + f * (bx - ax)), 2) + pow(y - (ay + f * (by_ - ay)), 2)) as d from u)
+select c.id, case when m.d > 0 then round(m.d, 4) end as snap_distance from {C} c left join (select id, min(d) as d from d where d <= 300 group by id) m on m.id = c.id""")
 def snapped_everywhere(spark, sf):
-    """With a reach beyond the plane every point finds a place."""
-    segs = lines.get_line_segments(fx.order_lines(spark, sf)).where("oid % 500 = 0")
-    out = joins.snap(fx.customers(spark, sf).where("id < 100").select("id", "x", "y"), segs, "id", 20_000.0, 20_000.0)
-    return out.select("id", F.col("snap_x").isNotNull().alias("snapped"))
+    """Snapping with a reach of several segments."""
+    out = joins.snap(fx.customers(spark, sf).select("id", "x", "y"), fx.short_segments(spark, sf), "id", 300.0)
+    return out.select("id", F.round("snap_distance", 4).alias("snap_distance"))
+
+
+SIMPLIFIED = "sqrt(cast((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy) as double))"
 
 
-@query("simplified_lines", f"select oid, count(*) as n from {L} where oid % 10 = 0 group by 1".replace("count(*) as n", "cast(2 as bigint) as n"))
+@query("simplified_lines", f"select oid, cast(case when ax = cx and ay = cy then 3 when abs(cast((cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax) as double)) / {SIMPLIFIED} > 800 then 3 when (bx - ax) * (cx - ax) + (by_ - ay) * (cy - ay) < 0 or (bx - cx) * (ax - cx) + (by_ - cy) * (ay - cy) < 0 then -1 else 2 end as bigint) as n from {L}")
 def simplified_lines(spark, sf):
-    """With a tolerance beyond all corners only the ends stay."""
-    some = fx.order_lines(spark, sf).where("oid % 10 = 0")
-    return some.select("oid", F.size(g.vertices(k.simplify(F.col("geometry"), 1e6))).cast("long").alias("n"))
+    """The middle vertex stays where it lies over 800 units from the line between the ends (-1: beside that line, not judged)."""
+    s0, s1 = g.segments("geometry")[0], g.segments("geometry")[1]
+    ux, uy, vx, vy = s0["b"]["x"] - s0["a"]["x"], s0["b"]["y"] - s0["a"]["y"], s1["b"]["x"] - s0["a"]["x"], s1["b"]["y"] - s0["a"]["y"]
+    wx, wy = s0["b"]["x"] - s1["b"]["x"], s0["b"]["y"] - s1["b"]["y"]
+    rows = fx.order_lines(spark, sf).withColumn("n", F.size(g.vertices(k.simplify(F.col("geometry"), 800.0))))
+    far = F.abs(vx * uy - vy * ux) > 800.0 * F.sqrt(vx * vx + vy * vy)
+    beside = (ux * vx + uy * vy < 0) | (wx * -vx + wy * -vy < 0)
+    return rows.select("oid", F.when(~far & beside, -1).otherwise(F.col("n")).cast("long").alias("n"))

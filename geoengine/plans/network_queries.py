@@ -117,7 +117,7 @@ def route_costs(spark, sf):
 
 @query("k_routes")
 def k_routes(spark, sf):
-    pairs = origins(spark).crossJoin(destinations(spark).where("destination % 10 = 3"))
+    pairs = origins(spark).crossJoin(destinations(spark))
     routes = network.get_k_routes(directed(spark, sf), pairs, 3, 50, weight="minutes")
     return routes.groupBy("origin", "destination", "k").agg(F.count("*").alias("n_edges"))
 
@@ -128,24 +128,24 @@ def route_frequencies(spark, sf):
     return network.get_route_frequencies(directed(spark, sf), pairs, "minutes")
 
 
-@query("node_ids", f"""with l as (select least(l_suppkey, 400) % 97 as ax, l_partkey % 89 as ay, l_partkey % 97 as bx, l_suppkey % 89 as by_, l_linenumber as length from lineitem where l_orderkey % 11 = 0),
+@query("node_ids", f"""with l as (select least(l_suppkey, 400) % 97 as ax, l_partkey % 89 as ay, l_partkey % 97 as bx, l_suppkey % 89 as by_, l_linenumber as length from lineitem),
 ends as (select ax as x, ay as y, (bx, by_, length) as o from l union all select bx, by_, (ax, ay, length) from l)
 select cast(row_number() over (order by x, y) - 1 as varchar) as node_id, x, y, n from (select x, y, count(distinct o) as n from ends group by 1, 2)""")
 def node_ids(spark, sf):
     from geoengine.session import table
 
-    e = table(spark, sf, "lineitem").where("l_orderkey % 11 = 0")
+    e = table(spark, sf, "lineitem")
     rows = e.select((F.least("l_suppkey", F.lit(400)) % 97).alias("ax"), (F.col("l_partkey") % 89).alias("ay"), (F.col("l_partkey") % 97).alias("bx"), (F.col("l_suppkey") % 89).alias("by"), F.col("l_linenumber").alias("length"))
     return network.make_node_ids(rows)[1].select("node_id", "x", "y", "n")
 
 
-@query("holes_to_dead_ends", f"""with p as (select id, x, y from {fx.CUSTOMERS} where id % 3 = 0),
+@query("holes_to_dead_ends", f"""with p as (select id, x, y from {fx.CUSTOMERS}),
 d as (select a.id as source, b.id as target, cast((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as double) as d2 from p a join p b on a.id <> b.id),
 r as (select *, row_number() over (partition by source order by d2, target) as n from d)
-select source, target, round(sqrt(d2), 6) as distance from r where n = 1 and d2 < 40000""")
+select source, target, round(sqrt(d2), 6) as distance from r where n = 1 and d2 < 250000""")
 def holes_to_dead_ends(spark, sf):
-    nodes = fx.customers(spark, sf).where("id % 3 = 0").select(F.col("id").alias("node_id"), "x", "y", F.lit(1).alias("n"))
-    out = network.close_network_holes_to_deadends(nodes, 200)
+    nodes = fx.customers(spark, sf).select(F.col("id").alias("node_id"), "x", "y", F.lit(1).alias("n"))
+    out = network.close_network_holes_to_deadends(nodes, 500)
     return out.select("source", "target", F.round("distance", 6).alias("distance"))
 
 
@@ -161,7 +161,7 @@ def connected_points(spark, sf):
 
 @query("salesman_tours")
 def salesman_tours(spark, sf):
-    return network.traveling_salesman_problem(fx.customers(spark, sf).where("id < 200"), group="nation")
+    return network.traveling_salesman_problem(fx.customers(spark, sf), group="nation")
 
 
 @query("od_log", f"with recursive {COSTS} select count(*) as n, 100.0 * count(*) filter (where d is null) / count(*) as percent_missing, avg(d) as cost_mean, quantile_cont(d, 0.5) as cost_median from sp".replace("100.0 * count(*) filter (where d is null) / count(*)", "cast(0 as double)"))

@@ -91,14 +91,12 @@ def neighbor_indices(spark, sf):
 SEGS = f"(select oid, 0 as seg, ax, ay, bx, by_ from {fx.ORDER_LINES} union all select oid, 1, bx, by_, cx, cy from {fx.ORDER_LINES})"
 
 
-@query("nearest_snap", f"""with segs as (select * from {SEGS} where oid % 50 = 0),
-t as (select id, x, y, ax, ay, bx, by_, cast((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as double) as size from {C} c, segs where x between least(ax, bx) - 30 and greatest(ax, bx) + 30 and y between least(ay, by_) - 30 and greatest(ay, by_) + 30),
+@query("nearest_snap", f"""with t as (select id, x, y, ax, ay, bx, by_, cast((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as double) as size from {C} c, {fx.SHORT_SEGMENTS} s where x between least(ax, bx) - 60 and greatest(ax, bx) + 60 and y between least(ay, by_) - 60 and greatest(ay, by_) + 60),
 u as (select *, case when size = 0 then 0.0 else least(1.0, greatest(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / size)) end as f from t),
 d as (select id, sqrt(pow(x - (ax + f * (bx - ax)), 2) + pow(y - (ay + f * (by_ - ay)), 2)) as d from u)
-select c.id, case when m.d > 0 then round(m.d, 4) end as snap_distance from {C} c left join (select id, min(d) as d from d where d <= 30 group by id) m on m.id = c.id""")
+select c.id, case when m.d > 0 then round(m.d, 4) end as snap_distance from {C} c left join (select id, min(d) as d from d where d <= 60 group by id) m on m.id = c.id""")
 def nearest_snap(spark, sf):
-    segs = lines.get_line_segments(fx.order_lines(spark, sf)).where("oid % 50 = 0")
-    snapped = joins.snap(fx.customers(spark, sf).select("id", "x", "y"), segs, "id", 30.0, 512.0)
+    snapped = joins.snap(fx.customers(spark, sf).select("id", "x", "y"), fx.short_segments(spark, sf), "id", 60.0, 128.0)
     return snapped.select("id", F.round("snap_distance", 4).alias("snap_distance"))
 
 
@@ -290,33 +288,32 @@ def cut_lines_once(spark, sf):
     return lines.cut_lines_once(some, 1000.0).groupBy("oid").agg(F.count("*").alias("n"))
 
 
-@query("line_bearings", f"select oid, round(degrees(atan2(cast(bx - ax as double), cast(by_ - ay as double))), 6) as bearing from {SEGS} where seg = 0")
+@query("line_bearings", f"select oid, seg, round(degrees(atan2(cast(bx - ax as double), cast(by_ - ay as double))), 6) as bearing from {SEGS}")
 def line_bearings(spark, sf):
-    segs = lines.get_line_segments(fx.order_lines(spark, sf)).where("seg = 0")
-    return segs.select("oid", F.round(g.angle(g.vertex("ax", "ay"), g.vertex("bx", "by")), 6).alias("bearing"))
+    segs = lines.get_line_segments(fx.order_lines(spark, sf))
+    return segs.select("oid", "seg", F.round(g.angle(g.vertex("ax", "ay"), g.vertex("bx", "by")), 6).alias("bearing"))
 
 
-@query("extended_lines", f"select oid, round(bx + (bx - ax) / s * 10, 4) as ex, round(by_ + (by_ - ay) / s * 10, 4) as ey from (select *, sqrt(cast((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as double)) as s from {SEGS} where seg = 0) where s > 0")
+@query("extended_lines", f"select oid, seg, round(bx + (bx - ax) / s * 10, 4) as ex, round(by_ + (by_ - ay) / s * 10, 4) as ey from (select *, sqrt(cast((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as double)) as s from {SEGS}) where s > 0")
 def extended_lines(spark, sf):
-    segs = lines.get_line_segments(fx.order_lines(spark, sf)).where("seg = 0")
+    segs = lines.get_line_segments(fx.order_lines(spark, sf))
     e = segs.withColumn("e", g.last_vertex(g.extend_lines(g.vertex("ax", "ay"), g.vertex("bx", "by"), 10.0))).where("e is not null")
-    return e.select("oid", F.round("e.x", 4).alias("ex"), F.round("e.y", 4).alias("ey"))
+    return e.select("oid", "seg", F.round("e.x", 4).alias("ex"), F.round("e.y", 4).alias("ey"))
 
 
-@query("segment_crossings", f"""with s as (select oid, ax, ay, bx, by_ from {SEGS} where seg = 0 and oid % 20 = 0)
-select count(*) as n from s a join s b on a.oid < b.oid
+@query("segment_crossings", f"""with s as (select * from {fx.SHORT_SEGMENTS})
+select count(*) as n from s a join s b on a.oid < b.oid and b.ax between a.ax - 120 and a.ax + 120
 where sign((a.bx - a.ax) * (b.ay - a.ay) - (a.by_ - a.ay) * (b.ax - a.ax)) * sign((a.bx - a.ax) * (b.by_ - a.ay) - (a.by_ - a.ay) * (b.bx - a.ax)) < 0
 and sign((b.bx - b.ax) * (a.ay - b.ay) - (b.by_ - b.ay) * (a.ax - b.ax)) * sign((b.bx - b.ax) * (a.by_ - b.ay) - (b.by_ - b.ay) * (a.bx - b.ax)) < 0""")
 def segment_crossings(spark, sf):
-    segs = lines.get_line_segments(fx.order_lines(spark, sf)).where("seg = 0 and oid % 20 = 0")
+    segs = fx.short_segments(spark, sf)
     other = segs.select(F.col("oid").alias("roid"), *[F.col(c).alias("r" + c) for c in ("ax", "ay", "bx", "by")])
-    return lines.segment_crossings(segs, other, 1000.0).where("oid < roid").agg(F.count("*").alias("n"))
+    return lines.segment_crossings(segs, other, 128.0).where("oid < roid").agg(F.count("*").alias("n"))
 
 
-@query("box_buffers", f"select pid, cast(round((x1 - x0) * (y1 - y0) + 2 * 3 * ((x1 - x0) + (y1 - y0)) + 4 * 9) as bigint) as area from {B} where pid % 10 = 0")
+@query("box_buffers", f"select pid, cast(round((x1 - x0) * (y1 - y0) + 2 * 3 * ((x1 - x0) + (y1 - y0)) + 4 * 9) as bigint) as area from {B}")
 def box_buffers(spark, sf):
-    some = fx.boxes(spark, sf).where("pid % 10 = 0")
-    return overlay.buff(some, 3.0, join_style="mitre").select("pid", F.round(g.area("geometry")).cast("long").alias("area"))
+    return overlay.buff(fx.boxes(spark, sf), 3.0, join_style="mitre").select("pid", F.round(g.area("geometry")).cast("long").alias("area"))
 
 
 @query("point_buffers", f"select id, round(0.5 * 120 * sin(2 * pi() / 120) * 2500, 3) as area from {C}")
@@ -346,30 +343,36 @@ def wkb_round_trip(spark, sf):
     return data.select("pid", g.area(k.from_wkb(F.col("b"))).alias("area"), F.octet_length("b").cast("long").alias("n_bytes"))
 
 
-@query("projection_round_trip", f"select id, true as same from {C}")
+# the first-order series of a transverse Mercator projection at longitude 15 give the northing of the central meridian
+@query("projection_round_trip", f"select id, true as same, cast(500000 as bigint) as easting, cast(round(0.9996 * (6367449.1458 * radians(57 + y / 1000.0) - 16038.5086 * sin(2 * radians(57 + y / 1000.0)) + 16.8326 * sin(4 * radians(57 + y / 1000.0)) - 0.0220 * sin(6 * radians(57 + y / 1000.0)))) as bigint) as northing from {C}")
 def projection_round_trip(spark, sf):
     lon, lat = 5 + F.col("x") / 1000, 57 + F.col("y") / 1000
     p = projection.from_4326(lon, lat)
     back = projection.to_4326(p["x"], p["y"])
-    return fx.customers(spark, sf).select("id", ((F.abs(back["x"] - lon) < 1e-6) & (F.abs(back["y"] - lat) < 1e-6)).alias("same"))
+    centre = projection.from_4326(F.lit(15.0), lat)
+    return fx.customers(spark, sf).select("id", ((F.abs(back["x"] - lon) < 1e-6) & (F.abs(back["y"] - lat) < 1e-6)).alias("same"), F.round(centre["x"]).cast("long").alias("easting"), F.round(centre["y"]).cast("long").alias("northing"))
 
 
-@query("sort_nans_last", "select o_orderkey from orders where o_orderkey < 200")
+@query("sort_nans_last", "select o_orderkey from orders")
 def sort_nans_last(spark, sf):
     from geoengine.session import table
 
-    rows = table(spark, sf, "orders").where("o_orderkey < 200").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("p"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("p"))
     return sorts.sort_nans_last(rows, "o_orderkey").select("o_orderkey")
 
 
-@query("random_points_in_boxes")
+@query("random_points_in_boxes", f"select pid, cast(5 as bigint) as n, cast(5 as bigint) as inside from {B}")
 def random_points_in_boxes(spark, sf):
-    return grid.random_points_in_polygons(fx.boxes(spark, sf).where("pid < 50"), "pid", 5, seed=3)
+    """How many points each box gets, and how many of them lie in it."""
+    b = fx.boxes(spark, sf)
+    points = grid.random_points_in_polygons(b, "pid", 5, seed=3).select("pid", "x", "y")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    return points.join(b.select("pid", "x0", "y0", "x1", "y1"), "pid").groupBy("pid").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"))
 
 
 def framed(spark, sf):
-    """Four boxes around a gap for each of some parts, far from the others: id, pid and geometry."""
-    p = fx.boxes(spark, sf).where("pid < 300").select("pid", (F.col("pid") * 1000).alias("o"), (1 + F.col("size") % 9).alias("w"), (1 + F.col("pid") % 7).alias("h"))
+    """Four boxes around a gap for each part, far from the others: id, pid and geometry."""
+    p = fx.boxes(spark, sf).select("pid", (F.col("pid") * 1000).alias("o"), (1 + F.col("size") % 9).alias("w"), (1 + F.col("pid") % 7).alias("h"))
     o, w, h = F.col("o"), F.col("w"), F.col("h")
     corners = [(o, 0, o + 10, 20 + h), (o + 10 + w, 0, o + 20 + w, 20 + h), (o + 10, 0, o + 10 + w, 10), (o + 10, 10 + h, o + 10 + w, 20 + h)]
     whole = lambda v: (F.lit(v) if isinstance(v, int) else v).cast("long")
@@ -378,7 +381,7 @@ def framed(spark, sf):
     return s.select("id", "pid", g.box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geometry"))
 
 
-FRAMES = f"(select pid, 1 + size % 9 as w, 1 + pid % 7 as h from {B} where pid < 300)"
+FRAMES = f"(select pid, 1 + size % 9 as w, 1 + pid % 7 as h from {B})"
 
 
 @query("gaps_by_cluster", f"select pid, cast(w * h as double) as area from {FRAMES}")
@@ -395,15 +398,15 @@ def dissolved_clusters(spark, sf):
 
 
 def slivers(spark, sf):
-    """(hosts, slivers): for each of some parts two hosts with a thin box between them."""
-    p = fx.boxes(spark, sf).where("pid < 200").select("pid", (F.col("pid") * 1000).alias("o"), (1 + F.col("pid") % 6).alias("ha"), (1 + F.col("pid") % 9).alias("hb"), (2 + F.col("pid") % 8).alias("hs"))
+    """(hosts, slivers): for each part two hosts with a thin box between them."""
+    p = fx.boxes(spark, sf).select("pid", (F.col("pid") * 1000).alias("o"), (1 + F.col("pid") % 6).alias("ha"), (1 + F.col("pid") % 9).alias("hb"), (2 + F.col("pid") % 8).alias("hs"))
     a = p.select((F.col("pid") * 10).alias("id"), g.box(F.col("o"), F.lit(0), F.col("o") + 10, F.col("ha")).alias("geometry"))
     b = p.select((F.col("pid") * 10 + 1).alias("id"), g.box(F.col("o") + 11, F.lit(0), F.col("o") + 30, F.col("hb")).alias("geometry"))
     s = p.select((F.col("pid") * 10 + 2).alias("id"), g.box(F.col("o") + 10, F.lit(0), F.col("o") + 11, F.col("hs")).alias("geometry"))
     return a.unionByName(b), s
 
 
-HEIGHTS = f"(select pid, 1 + pid % 6 as ha, 1 + pid % 9 as hb, 2 + pid % 8 as hs from {B} where pid < 200)"
+HEIGHTS = f"(select pid, 1 + pid % 6 as ha, 1 + pid % 9 as hb, 2 + pid % 8 as hs from {B})"
 
 
 def eliminated(how: str, to_a: str):
@@ -421,10 +424,10 @@ eliminated("largest", "10 * ha >= 19 * hb")
 eliminated("smallest", "10 * ha <= 19 * hb")
 
 
-@query("split_polygons", f"select pid, cast(2 as bigint) as n, cast((x1 - x0) * (y1 - y0) as bigint) as area from {B} where pid < 300")
+@query("split_polygons", f"select pid, cast(2 as bigint) as n, cast((x1 - x0) * (y1 - y0) as bigint) as area from {B}")
 def split_polygons(spark, sf):
     """Each box cut by its own diagonal, extended beyond its corners."""
-    b = fx.boxes(spark, sf).where("pid < 300")
+    b = fx.boxes(spark, sf)
     x0, x1 = F.col("x0") + F.col("pid") * 100_000, F.col("x1") + F.col("pid") * 100_000
     boxes = b.select("pid", g.box(x0, F.col("y0"), x1, F.col("y1")).alias("geometry"))
     cuts = b.select(g.line(F.array(g.vertex(x0 - (x1 - x0), F.col("y0") - (F.col("y1") - F.col("y0"))), g.vertex(x1 + (x1 - x0), F.col("y1") + (F.col("y1") - F.col("y0"))))).alias("geometry"))
