@@ -3,7 +3,8 @@
 Costs of a graph whose size is within a checked bound come from a shortest-path
 kernel over a broadcast graph, with the origins dealt to the tasks. Beyond the
 bound, costs spread over the edges by joins, a table of (origin, node, cost) that
-grows by one edge a round until nothing improves.
+grows by one edge a round until nothing improves; routes then are walked back
+over the last edges of the ways found.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -298,7 +300,7 @@ def get_route(edges: DataFrame, pairs: DataFrame, weight: str = "weight", direct
     """
     sent = _graph(edges, weight, directed)
     if sent is None:
-        raise ValueError(f"routes need a graph of at most {BROADCAST_EDGES} edges; cut the network to the region of the pairs first")
+        return routes_by_joins(edges, pairs, weight, directed, k_routes, drop_middle_percent)
     node, edge = _kind(edges, "source"), _kind(edges, "edge_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,6 +327,67 @@ def get_route(edges: DataFrame, pairs: DataFrame, weight: str = "weight", direct
     return pairs.select("origin", "destination").where("origin <> destination").distinct().repartition("origin").sortWithinPartitions("origin").mapInPandas(run, f"origin {node}, destination {node}, k int, seq int, edge_id {edge}")
 
 
+def _trees(edges: DataFrame, starts: DataFrame, banned: DataFrame | None) -> DataFrame:
+    """origin, goal, node, cost, edge, before: the last edge of the shortest way to every node from each start (origin, goal), without the edges banned for it (origin, goal, edge)."""
+    best = durable(starts.select("origin", "goal", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["__e"].dataType).alias("edge"), F.lit(None).cast(edges.schema["__s"].dataType).alias("before")))
+    key, way = ["origin", "goal", "node"], F.min(F.struct("cost", "edge", "before")).alias("w")
+    front = best
+    while not front.isEmpty():
+        step = front.drop("edge", "before").join(edges, F.col("node") == F.col("__s"))
+        step = step.select("origin", "goal", F.col("__t").alias("node"), (F.col("cost") + F.col("__w")).alias("cost"), F.col("__e").alias("edge"), F.col("__s").alias("before"))
+        if banned is not None:
+            step = step.join(banned, ["origin", "goal", "edge"], "left_anti")
+        step = step.groupBy(*key).agg(way).select(*key, "w.*")
+        better = step.join(best.select(*key, F.col("cost").alias("__c")), key, "left").where(F.col("__c").isNull() | (F.col("cost") < F.col("__c")))
+        front = durable(better.select(*key, "cost", "edge", "before"))
+        best = durable(best.unionByName(front).groupBy(*key).agg(way).select(*key, "w.*"))
+    return best
+
+
+def _walked(trees: DataFrame, ends: DataFrame) -> DataFrame:
+    """origin, destination, seq, edge: the ways to ``ends`` (origin, goal, destination), walked back one edge a round."""
+    at, parts = ends.select("origin", "goal", "destination", F.col("destination").alias("node"), F.lit(0).alias("back")), []
+    while True:
+        hit = durable(at.join(trees.select("origin", "goal", "node", "edge", "before"), ["origin", "goal", "node"]).where("edge is not null"))
+        if hit.isEmpty() and parts:
+            break
+        parts.append(hit.select("origin", "destination", "back", "edge"))
+        at = hit.select("origin", "goal", "destination", F.col("before").alias("node"), (F.col("back") + 1).alias("back"))
+    every = reduce(DataFrame.unionByName, parts)
+    seq = F.max("back").over(Window.partitionBy("origin", "destination")) - F.col("back")
+    return every.select("origin", "destination", seq.alias("seq"), "edge")
+
+
+def routes_by_joins(edges: DataFrame, pairs: DataFrame, weight: str = "weight", directed: bool = True, k_routes: int = 1, drop_middle_percent: float = 0.0) -> DataFrame:
+    """What ``get_route`` gives, for graphs of any size: rounds of joins find the trees of last edges, and further rounds walk them back.
+
+    The first ways share a search for each origin; a further way has one for each
+    pair, as each avoids other edges. Of edges that cost the same the smaller id is taken.
+    """
+    e = edges.select(F.col("source").alias("__s"), F.col("target").alias("__t"), F.col(weight).cast("double").alias("__w"), F.col("edge_id").alias("__e"))
+    if not directed:
+        e = e.unionByName(e.select(F.col("__t").alias("__s"), F.col("__s").alias("__t"), "__w", "__e"))
+    e = durable(e)
+    if not e.where("__w < 0").isEmpty():
+        raise ValueError("weights cannot be negative")
+    asked = durable(pairs.select("origin", "destination").where("origin <> destination").distinct())
+    # a search that serves all destinations has its origin as goal
+    found = durable(_walked(_trees(e, asked.select("origin", F.col("origin").alias("goal")).distinct(), None), asked.withColumn("goal", F.col("origin"))))
+    out, banned = [found.withColumn("k", F.lit(1))], None
+    for n in range(1, k_routes):
+        length = F.count("*").over(Window.partitionBy("origin", "destination"))
+        drop = F.least(F.greatest(F.lit(1), F.bround(length * (drop_middle_percent / 100)).cast("int")), F.greatest(F.lit(1), length - 2))
+        middle = found.withColumn("n", length).withColumn("drop", drop).withColumn("first", F.floor((F.col("n") - F.col("drop")) / 2)).where("seq >= first and seq < first + drop")
+        more = middle.select("origin", F.col("destination").alias("goal"), "edge")
+        banned = durable(more if banned is None else banned.unionByName(more))
+        again = durable(found.select("origin", "destination", F.col("destination").alias("goal")).distinct())
+        if again.isEmpty():
+            break
+        found = durable(_walked(_trees(e, again.select("origin", "goal"), banned), again))
+        out.append(found.withColumn("k", F.lit(n + 1)))
+    return reduce(DataFrame.unionByName, out).select("origin", "destination", "k", "seq", F.col("edge").alias("edge_id"))
+
+
 def get_k_routes(edges: DataFrame, pairs: DataFrame, k_routes: int, drop_middle_percent: float, **options) -> DataFrame:
     return get_route(edges, pairs, k_routes=k_routes, drop_middle_percent=drop_middle_percent, **options)
 

@@ -84,3 +84,22 @@ def test_stream_of_positions(spark, tmp_path):
     q.stop()
     got = sorted((r.cx, r.cy, r.n) for r in spark.sql("select * from cells").collect())
     assert got == [(0, 0, 2), (2, 0, 1)]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_routes_by_joins_equal_the_kernel(spark, directed):
+    import random
+
+    from geoengine.operators import network
+
+    rng = random.Random(4)
+    # weights that no two ways share, parallel edges and a part that is not reached
+    edges = [(i, rng.randrange(7), rng.randrange(7), 1.0 + 2.0 ** -(i + 1)) for i in range(16)] + [(90, 50, 51, 1.0)]
+    e = spark.createDataFrame(edges, "edge_id long, source long, target long, weight double")
+    pairs = spark.createDataFrame([(0, 3), (0, 5), (2, 6), (0, 51), (4, 4), (0, 3)], "origin long, destination long")
+    for k_routes in (1, 2):
+        want = network.get_route(e, pairs, directed=directed, k_routes=k_routes, drop_middle_percent=50)
+        got = network.routes_by_joins(e, pairs, directed=directed, k_routes=k_routes, drop_middle_percent=50)
+        assert got.columns == want.columns
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, want.collect())) and rows
