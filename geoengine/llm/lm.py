@@ -127,14 +127,10 @@ class Chunk:
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, buckets: int, tokens: int) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(kind)
     names = ["chunk", "kind", "part", "data", "ids", "held", "sizes"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(arrow), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, chunk = TaskContext.get().partitionId(), count(), Chunk()
+        task, number, chunk, types = TaskContext.get().partitionId(), count(), Chunk(), None
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = f"{task}-{next(number)}"
@@ -142,6 +138,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int,
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
         for b in batches:
+            types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(b.schema.field(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64())]
             for key, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 chunk.add(key, held, text.as_buffer().to_pybytes())
                 if chunk.tokens >= tokens:
@@ -325,6 +322,8 @@ def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[di
 
 
 def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) -> DataFrame:
+    """The chunks' texts with their answers: a partition for each chunk, so that no task grows with the corpus."""
+    chunks = max(1, texts.select("chunk").distinct().count())
     kind = texts.schema["ids"].dataType.elementType.simpleString()
     n, v = setting["tokens"], setting["vocabulary"]
 
@@ -348,7 +347,7 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
                 yield pa.RecordBatch.from_arrays([b.column(4)[i].values, b.column(5)[i].values, pa.array(sizes), pa.array(known), pa.array(np.full(sizes.size, n, np.int64)), pa.array(base), pa.array(logs)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = texts.unionByName(answers, allowMissingColumns=True)
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    rows = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind", "part")
     out = rows.select("chunk", "kind", "part", "data", "ids", "held", "sizes").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
