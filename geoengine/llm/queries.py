@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geoengine.llm import langid, lm, mixing, ogg, pieces, quality, simhash, topk, toxicity, warc
 from geoengine.llm.common import utf8
-from geoengine.session import durable, table
+from geoengine.session import durable, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,7 +93,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stored = ogg.encode(docs.select("doc_id", F.octet_length(utf8()).cast("long").alias("n_bytes"), ogg.text_payload().alias("p")).select("doc_id", "n_bytes", "p"), F.col("p")).drop("p")
-    back = ogg.decode(stored)
+    # the files are written to the shared folder and read back
+    folder = f"{shared_folder(spark)}/ogg-{uuid.uuid4().hex}"
+    stored.write.option("compression", "zstd").parquet(folder)
+    back = ogg.decode(spark.read.parquet(folder))
     feature = F.format_string("streams=%d;pages=%d;packets=%d;seconds=%.6f;mean=%.6f;skipped=%d;lost=%d", "streams", "pages", "packets", "seconds", "mean", F.size("skipped"), "lost")
     return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), ogg.tail_crc32(F.col("payload")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
