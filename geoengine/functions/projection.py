@@ -7,6 +7,7 @@ order (below a millimetre inside a zone). Zone 33 is central meridian 15 east.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,3 +54,22 @@ def to_4326(x: Column, y: Column, crs: int = 25833) -> Column:
     for j, d in enumerate(DELTA, 1):
         phi = phi + d * F.sin(2 * j * chi)
     return vertex(F.degrees(F.atan2(F.sinh(b), F.cos(a))) + meridian(crs), F.degrees(phi))
+
+
+def crs_to_string(crs: int | str | None) -> str | None:
+    """A reference system's name: a number is an EPSG code; names of authorities are upper case."""
+    if crs is None or crs == "":
+        return None
+    text = str(crs).strip()
+    return f"EPSG:{text}" if text.isdigit() else text.upper()
+
+
+def get_common_crs(systems: Iterable[int | str | None], strict: bool = False) -> str | None:
+    """The one reference system that all name; several are an error. Those without one are passed over, or, if ``strict``, an error beside others."""
+    named = {crs_to_string(x) for x in systems}
+    if strict and None in named and len(named) > 1:
+        raise ValueError("some have a reference system, some have none")
+    named.discard(None)
+    if len(named) > 1:
+        raise ValueError(f"several reference systems: {', '.join(sorted(named))}")
+    return next(iter(named), None)

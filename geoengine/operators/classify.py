@@ -65,6 +65,12 @@ def prettify_label(label: str | Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(c, "_+", " ")))
 
 
+def proper_fillna(column: str | Column, value) -> Column:
+    """The column with ``value`` where it is null or not a number."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c.isNull() | (c.cast("string") == "NaN"), F.lit(value)).otherwise(c)
+
+
 def nodata_share(column: str, nodata: float | None = None) -> Column:
     """Aggregate: the share of values that are missing."""
     c = F.col(column)

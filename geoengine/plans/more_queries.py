@@ -88,6 +88,21 @@ def single_geometry_type(spark, sf):
     return constructors.to_single_geom_type(every, "polygon").agg(F.count("*").alias("n"))
 
 
+@query("rows_by_geometry_type", f"select 'LineString' as kind, count(*) as n, cast(max(oid) as bigint) as last from {L} union all select 'Point', count(*), max(id) from {C} union all select 'Polygon', count(*), max(pid) from {B}")
+def rows_by_geometry_type(spark, sf):
+    points = fx.customers(spark, sf).select("id", g.point("x", "y").alias("geometry"))
+    every = points.unionByName(fx.boxes(spark, sf).select(F.col("pid").alias("id"), "geometry")).unionByName(fx.order_lines(spark, sf).select(F.col("oid").alias("id"), "geometry"))
+    parts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.max("id").alias("last")) for kind, df in constructors.split_geom_types(every).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("filled_values", "select c_custkey, case when c_custkey % 3 = 2 then c_acctbal else -1 end as filled from customer")
+def filled_values(spark, sf):
+    k = F.col("c_custkey") % 3
+    gaps = F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.col("c_acctbal"))
+    return table(spark, sf, "customer").select("c_custkey", classify.proper_fillna(gaps, -1.0).alias("filled"))
+
+
 @query("duplicate_geometries", f"select min(pid) as pid from {B} t group by x0, y0, x1, y1")
 def duplicate_geometries(spark, sf):
     b = fx.boxes(spark, sf).select("pid", "geometry")

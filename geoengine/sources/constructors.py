@@ -55,5 +55,11 @@ def to_single_geom_type(df: DataFrame, geom_type: str) -> DataFrame:
     return df.where(g.geom_family("geometry") == geom_type)
 
 
+def split_geom_types(df: DataFrame) -> dict[str, DataFrame]:
+    """A frame for each geometry type of the rows, by the type's name; rows without a geometry are in none."""
+    kinds = df.where("geometry is not null").select(F.col("geometry")["type"].alias("t")).distinct()
+    return {r.t: df.where(F.col("geometry")["type"] == r.t) for r in kinds.orderBy("t").collect()}
+
+
 def make_all_singlepart(df: DataFrame) -> DataFrame:
     return df.withColumn("geometry", F.explode(g.explode_parts("geometry")))

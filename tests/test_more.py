@@ -103,3 +103,13 @@ def test_routes_by_joins_equal_the_kernel(spark, directed):
         assert got.columns == want.columns
         rows = sorted(map(tuple, got.collect()))
         assert rows == sorted(map(tuple, want.collect())) and rows
+
+
+def test_common_reference_systems():
+    from geoengine.functions.projection import crs_to_string, get_common_crs
+
+    assert crs_to_string(25833) == crs_to_string("epsg:25833") == crs_to_string("25833") == "EPSG:25833" and crs_to_string(None) is None
+    assert get_common_crs([25833, None, "EPSG:25833"]) == "EPSG:25833" and get_common_crs([None, ""]) is None and get_common_crs([]) is None
+    for systems, strict in (([25833, 4326], False), ([25833, None], True)):
+        with pytest.raises(ValueError, match="reference system"):
+            get_common_crs(systems, strict)
