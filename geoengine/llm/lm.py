@@ -1,23 +1,25 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
 Tokens are a text's words, A-Z lower-cased, and one end. Each token is a
-customer of the restaurant of its context, the class of the word before it (its
-length up to 4 and its last byte; the start of a text is a class of its own).
+customer of the restaurant of its context, the word before it (the start of a
+text is a context of its own). Words find their restaurant by a hash of 16 bits,
+so words may share one; a word that is frequent rules the restaurant it shares.
 The tables of all context restaurants are the customers of one shared parent,
 the unigram restaurant, whose base is uniform over the training vocabulary and
 one unknown word. Seating is sampled by Gibbs: the number of tables that serve a
 word in a restaurant is drawn from its conditional given everything else, with
 the arrangement at the tables summed out (generalized Stirling numbers) for up to
-64 customers; more are seated one after the other, beyond 64 in blocks of a
-32nd of those seated. Predictive probabilities are averaged over the sweeps after
-the burn-in. Discounts come from the counts of counts.
+256 customers; more are seated one after the other up to 256 and then in blocks of
+a 32nd of those seated, each with the probability at its middle. Predictive
+probabilities are averaged over the sweeps after the burn-in. Discounts come from
+the counts of counts.
 
 How it is distributed. Texts are read in chunks of some million tokens. A chunk
 turns into its distinct (word, context) pairs with training counts, cut into
 buckets by the word's hash, and its texts into places in that list of pairs.
 All pairs of a word meet in one bucket, whatever their contexts, so a bucket
 holds the word's part of every restaurant and of the parent. A sweep needs from
-outside only the restaurants' totals, a fixed number of sums that the driver
+outside only the restaurants' totals, 65,537 sums at any size that the driver
 hands on from sweep to sweep. Buckets keep no seating: a sweep's choices are
 functions of seed, sweep, bucket and those totals, and a later sweep replays the
 earlier ones, so a lost executor costs its own buckets only. At the end each
@@ -47,27 +49,35 @@ from pyspark.sql import functions as F
 from geoengine.llm.common import id_remainder, utf8, words_of
 from geoengine.session import durable
 
-#: Contexts: four length classes times the last byte, and the start.
-CONTEXTS, START, SHIFT = 1025, 1024, 11
+#: Restaurants of contexts: words by their hash, and the start.
+CONTEXTS, START, SHIFT = 65_536, 65_535, 16
 END = xxhash.xxh64_intdigest(b" ")
-EXACT = 64
+EXACT = 256
+#: Weights of table numbers that are held at once.
+CELLS = 1 << 20
 
 
 def context(word: bytes) -> int:
-    return (min(len(word), 4) - 1) << 8 | word[-1]
+    return xxhash.xxh64_intdigest(word, 1) % START
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    """Arrays of equal length, one plane of bytes after the other; unsigned ones of 64 and 16 bits, which come in order or in runs, as steps."""
+    planes = []
+    for a in arrays:
+        if a.dtype in (np.uint64, np.uint16):
+            a = np.diff(a, prepend=a.dtype.type(0))
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
-    """Arrays of equal length."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes = [np.dtype(d).itemsize for d in dtypes]
     n, at, out = len(raw) // sum(sizes), 0, []
     for d, s in zip(dtypes, sizes):
-        out.append(np.frombuffer(raw, d, n, at))
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * s, at).reshape(s, n).T).view(d).ravel()
+        out.append(np.cumsum(a, dtype=d) if d in (np.uint64, np.uint16) else a)
         at += n * s
     return out
 
@@ -161,7 +171,7 @@ def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, data (hash, context, count of all its pairs), and sums: contexts' customers and tables, then words, tokens, and pairs and words seen once and twice."""
+    """bucket, data (hash, context, count of all its pairs), and sums: words, tokens, and pairs and words seen once and twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, waiting = None, [], 0
@@ -170,10 +180,8 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
             h, c, n = merged(parts)
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             seen = np.add.reduceat((n > 0).astype(np.int64), starts)
-            customers = np.bincount(c, weights=n, minlength=CONTEXTS).astype(np.int64)
-            tables = np.bincount(c[n > 0], minlength=CONTEXTS)
-            tail = [int((seen > 0).sum()), int(n.sum()), *(int((n == k).sum()) for k in (1, 2)), *(int((seen == k).sum()) for k in (1, 2))]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(h, c, n)], pa.binary()), pa.array([np.r_[customers, tables, tail]], pa.list_(pa.int64()))], names=["bucket", "data", "sums"])
+            sums = [int((seen > 0).sum()), int(n.sum()), *(int((n == k).sum()) for k in (1, 2)), *(int((seen == k).sum()) for k in (1, 2))]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(h, c, n)], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=["bucket", "data", "sums"])
 
         for b in batches:
             for bucket, data in zip(b.column(0).to_pylist(), b.column(1)):
@@ -183,7 +191,7 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
                 at = bucket
                 parts.append(tuple(unpacked(data.as_buffer(), np.uint64, np.uint16, np.uint32)))
                 waiting += parts[-1][0].size
-                if waiting > 1 << 22 and len(parts) > 1:
+                if waiting > 1 << 21 and len(parts) > 1:
                     parts = [merged(parts)]
                     waiting = 0
         if at is not None:
@@ -198,21 +206,22 @@ def stirling(discount: float) -> np.ndarray:
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
     out[0, 0] = 0.0
     for c in range(EXACT):
-        for t in range(1, c + 2):
-            stay = out[c, t] + np.log(c - discount * t) if t <= c else -np.inf
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = np.logaddexp(out[c, :c], out[c, 1 : c + 1] + np.log(c - discount * t))
+        out[c + 1, c + 1] = out[c, c]
     return out
 
 
 def seated(customers: np.ndarray, others: np.ndarray, base: np.ndarray, theta: float, d: float, logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Tables for each dish, given its customers, the restaurant's tables for other dishes, and the dish's probability in the parent."""
     t = np.minimum(customers, 1)
-    order = np.argsort(customers, kind="stable")
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(customers[order], kind="stable")]
     sizes = customers[order]
-    for c in range(2, EXACT + 1):
+    for c in np.unique(sizes[: np.searchsorted(sizes, EXACT + 1)]).tolist():
         own = order[np.searchsorted(sizes, c) : np.searchsorted(sizes, c + 1)]
-        for k in range(0, own.size, 1 << 16):
-            i = own[k : k + (1 << 16)]
+        for k in range(0, own.size, CELLS // c):
+            i = own[k : k + CELLS // c]
             new = np.log((theta + d * (others[i][:, None] + np.arange(c))) * base[i][:, None])
             w = logs[c, 1 : c + 1] + np.cumsum(new, axis=1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
@@ -220,11 +229,11 @@ def seated(customers: np.ndarray, others: np.ndarray, base: np.ndarray, theta: f
     live = order[np.searchsorted(sizes, EXACT + 1) :]
     n = 1
     while live.size:
-        step = 1 if n < EXACT else n // 32
+        step = np.minimum(1 if n < EXACT else n // 32, customers[live] - n)
         new = (theta + d * (others[live] + t[live])) * base[live]
-        p = new / (new + n - d * t[live])
-        t[live] += rng.binomial(np.minimum(step, customers[live] - n), p)
-        n += step
+        p = new / (new + n + (step - 1) / 2 - d * t[live])
+        t[live] += rng.binomial(step, p)
+        n += 1 if n < EXACT else n // 32
         live = live[customers[live] > n]
     return t
 
@@ -270,6 +279,33 @@ class Bucket:
         return total / max(used, 1)
 
 
+def added(rows: DataFrame) -> np.ndarray:
+    """Sums over partitions of rows (k, n), as an array of CONTEXTS + 1 numbers."""
+    out = np.zeros(CONTEXTS + 1, np.int64)
+    got = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("k").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def filled(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+
+def opening(state: DataFrame, tables: bool) -> np.ndarray:
+    """The contexts' customers, or their tables while each dish has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CONTEXTS, np.int64)
+        for b in batches:
+            for data in b.column(0):
+                _, c, n = unpacked(data.as_buffer(), np.uint64, np.uint16, np.int64)
+                total += np.bincount(c, weights=n > 0 if tables else n, minlength=CONTEXTS).astype(np.int64)
+        yield filled(total)
+
+    return added(state.select("data").mapInArrow(run, "k long, n long"))[:CONTEXTS]
+
+
 def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
     """The restaurants' totals before and after each sweep."""
     history, sc = [first], state.sparkSession.sparkContext
@@ -285,11 +321,9 @@ def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
                     own.replay(history, setting["sweeps"])
                     total[:CONTEXTS] += np.bincount(own.c, weights=own.t, minlength=CONTEXTS).astype(np.int64)
                     total[CONTEXTS] += own.t0.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 1)), pa.array(total)], names=["k", "n"])
+            yield filled(total)
 
-        sums = np.zeros(CONTEXTS + 1, np.int64)
-        for r in state.select("bucket", "data").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            sums[r.k] = r.n
+        sums = added(state.select("bucket", "data").mapInArrow(run, "k long, n long"))
         history = [*history, {"tables": sums[:CONTEXTS], "t0": int(sums[CONTEXTS])}]
     return history
 
@@ -305,7 +339,7 @@ def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[di
             for number, chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if chunk is None:
                     own = Bucket(number, data.as_buffer(), setting)
-                    logs = np.log10(own.replay(history, setting["burn"]))
+                    logs = np.log10(own.replay(history, setting["burn"])).astype(np.float32)
                     words = own.h[own.starts]
                     codes = own.word << SHIFT | own.c
                     counts = np.add.reduceat(own.n, own.starts)[own.word].astype(np.uint64)
@@ -335,7 +369,7 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
                 if chunk != at:
                     at, parts, table = chunk, [], None
                 if what == 0:
-                    parts.append(unpacked(data, np.float64, np.uint64))
+                    parts.append(unpacked(data, np.float32, np.uint64))
                     continue
                 if table is None:
                     logs, counts = (np.concatenate(x) for x in zip(*parts))
@@ -343,7 +377,7 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
                 (place,) = unpacked(data, np.uint32)
                 sizes = b.column(6)[i].values.to_numpy()
                 starts = np.cumsum(sizes) - sizes
-                logs, base, known = (np.add.reduceat(x[place], starts) for x in table)
+                logs, base, known = (np.add.reduceat(x[place], starts, dtype=k) for x, k in zip(table, (np.float64, np.float64, np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(4)[i].values, b.column(5)[i].values, pa.array(sizes), pa.array(known), pa.array(np.full(sizes.size, n, np.int64)), pa.array(base), pa.array(logs)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = texts.unionByName(answers, allowMissingColumns=True)
@@ -352,19 +386,17 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
     return out.withColumnRenamed("id", id_col)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, burn: int = 2, samples: int = 2, theta: float = 5.0, theta0: float = 50.0, seed: int = 23, bucket_docs: int = 16_000, chunk_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, burn: int = 2, samples: int = 2, theta: float = 5.0, theta0: float = 50.0, seed: int = 23, bucket_docs: int = 4_000, chunk_tokens: int = 3_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability) for each row."""
     buckets = max(16, docs.count() // bucket_docs)
     rows = durable(chunked(docs, id_col, text_col, folds, fold, buckets, chunk_tokens))
     pairs, texts = rows.where("kind = 0"), rows.where("kind = 1")
     state = durable(by_bucket(pairs, buckets))
-    sums = np.zeros(2 * CONTEXTS + 6, np.int64)
-    for r in state.select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        sums[r.k] = r.n
-    vocabulary, tokens, one, two, u_one, u_two = (int(x) for x in sums[2 * CONTEXTS :])
+    sums = added(state.select(F.posexplode("sums").alias("k", "n")))
+    vocabulary, tokens, one, two, u_one, u_two = (int(x) for x in sums[:6])
     discount = lambda a, b: min(max(a / max(a + 2 * b, 1), 0.05), 0.95)
-    setting = {"d": discount(one, two), "d0": discount(u_one, u_two), "theta": theta, "theta0": theta0, "vocabulary": vocabulary, "tokens": tokens, "customers": sums[:CONTEXTS], "seed": seed, "sweeps": burn + samples, "burn": burn}
-    first = {"tables": sums[CONTEXTS : 2 * CONTEXTS], "t0": vocabulary}
+    setting = {"d": discount(one, two), "d0": discount(u_one, u_two), "theta": theta, "theta0": theta0, "vocabulary": vocabulary, "tokens": tokens, "customers": opening(state, False), "seed": seed, "sweeps": burn + samples, "burn": burn}
+    first = {"tables": opening(state, True), "t0": vocabulary}
     history = sampled(state, setting, first)
     return scored(texts, answered(pairs, state, setting, history, buckets), setting, id_col)
 
