@@ -2,7 +2,7 @@
 
 Tokens are a text's words, A-Z lower-cased, and one end. Each token is a
 customer of the restaurant of its context, the word before it (the start of a
-text is a context of its own). Words find their restaurant by a hash of 16 bits,
+text is a context of its own). Words find their restaurant by a hash of 20 bits,
 so words may share one; a word that is frequent rules the restaurant it shares.
 The tables of all context restaurants are the customers of one shared parent,
 the unigram restaurant, whose base is uniform over the training vocabulary and
@@ -19,7 +19,7 @@ turns into its distinct (word, context) pairs with training counts, cut into
 buckets by the word's hash, and its texts into places in that list of pairs.
 All pairs of a word meet in one bucket, whatever their contexts, so a bucket
 holds the word's part of every restaurant and of the parent. A sweep needs from
-outside only the restaurants' totals, 65,537 sums at any size that the driver
+outside only the restaurants' totals, 2^20 + 1 sums at any size that the driver
 hands on from sweep to sweep. Buckets keep no seating: a sweep's choices are
 functions of seed, sweep, bucket and those totals, and a later sweep replays the
 earlier ones, so a lost executor costs its own buckets only. At the end each
@@ -50,9 +50,11 @@ from geoengine.llm.common import id_remainder, utf8, words_of
 from geoengine.session import durable
 
 #: Restaurants of contexts: words by their hash, and the start.
-CONTEXTS, START, SHIFT = 65_536, 65_535, 16
+CONTEXTS, START, SHIFT = 1 << 20, (1 << 20) - 1, 20
 END = xxhash.xxh64_intdigest(b" ")
 EXACT = 256
+#: Restaurants whose totals are added up together.
+RANGE = 1 << 16
 #: Weights of table numbers that are held at once.
 CELLS = 1 << 20
 
@@ -61,11 +63,14 @@ def context(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 1) % START
 
 
+STEPS = (np.uint64, np.uint32)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length, one plane of bytes after the other; unsigned ones of 64 and 16 bits, which come in order or in runs, as steps."""
+    """Arrays of equal length, one plane of bytes after the other; unsigned ones, which come in order or in runs, as steps."""
     planes = []
     for a in arrays:
-        if a.dtype in (np.uint64, np.uint16):
+        if a.dtype in STEPS:
             a = np.diff(a, prepend=a.dtype.type(0))
         planes.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T))
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
@@ -77,7 +82,7 @@ def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
     n, at, out = len(raw) // sum(sizes), 0, []
     for d, s in zip(dtypes, sizes):
         a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * s, at).reshape(s, n).T).view(d).ravel()
-        out.append(np.cumsum(a, dtype=d) if d in (np.uint64, np.uint16) else a)
+        out.append(np.cumsum(a, dtype=d) if d in STEPS else a)
         at += n * s
     return out
 
@@ -116,12 +121,12 @@ class Chunk:
         ctx[ends - sizes] = START
         pairs, place = np.unique(word << SHIFT | ctx, return_inverse=True)
         learned = np.repeat(np.array([not h for _, h in self.docs]), sizes)
-        counts = np.bincount(place[learned], minlength=pairs.size).astype(np.uint32)
-        h, c = hashes[pairs >> SHIFT], (pairs & (1 << SHIFT) - 1).astype(np.uint16)
+        counts = np.bincount(place[learned], minlength=pairs.size).astype(np.int32)
+        h, c = hashes[pairs >> SHIFT], (pairs & (1 << SHIFT) - 1).astype(np.uint32)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((c, h, bucket))
-        rank = np.empty(order.size, np.uint32)
-        rank[order] = np.arange(order.size, dtype=np.uint32)
+        rank = np.empty(order.size, np.int32)
+        rank[order] = np.arange(order.size, dtype=np.int32)
         h, c, counts, bucket, place = h[order], c[order], counts[order], bucket[order], rank[place]
         cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), bucket.size]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -189,7 +194,7 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
                     yield out()
                     parts, waiting = [], 0
                 at = bucket
-                parts.append(tuple(unpacked(data.as_buffer(), np.uint64, np.uint16, np.uint32)))
+                parts.append(tuple(unpacked(data.as_buffer(), np.uint64, np.uint32, np.int32)))
                 waiting += parts[-1][0].size
                 if waiting > 1 << 21 and len(parts) > 1:
                     parts = [merged(parts)]
@@ -242,7 +247,7 @@ class Bucket:
     """A bucket's part of the restaurants, replayed through the sweeps so far."""
 
     def __init__(self, number: int, data: bytes, setting: dict):
-        self.h, self.c, self.n = unpacked(data, np.uint64, np.uint16, np.int64)
+        self.h, self.c, self.n = unpacked(data, np.uint64, np.uint32, np.int64)
         self.starts = np.flatnonzero(np.r_[True, self.h[1:] != self.h[:-1]])
         self.word = np.repeat(np.arange(self.starts.size), np.diff(np.r_[self.starts, self.h.size]))
         self.number, self.s = number, setting
@@ -279,31 +284,45 @@ class Bucket:
         return total / max(used, 1)
 
 
-def added(rows: DataFrame) -> np.ndarray:
-    """Sums over partitions of rows (k, n), as an array of CONTEXTS + 1 numbers."""
-    out = np.zeros(CONTEXTS + 1, np.int64)
-    got = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    return out
+def pieces(total: np.ndarray) -> pa.RecordBatch:
+    """(part, data): the ranges of an array that are not all zero."""
+    cut = [(k, total[k * RANGE : (k + 1) * RANGE]) for k in range(-(-total.size // RANGE))]
+    cut = [(k, packed(a)) for k, a in cut if a.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.binary())], names=["part", "data"])
+
 
+def added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of arrays that came as rows of ``pieces``; each range is added up in a task of its own."""
 
-def filled(total: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1)):
+                (a,) = unpacked(data.as_buffer(), np.int64)
+                sums[part] = sums[part] + a if part in sums else a
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(a) for a in sums.values()], pa.binary())], names=["part", "data"])
+
+    out = np.zeros(size, np.int64)
+    got = rows.repartition(-(-size // RANGE), "part").mapInArrow(run, "part int, data binary").toArrow()
+    for part, data in zip(got.column("part").to_pylist(), got.column("data").to_pylist()):
+        out[part * RANGE : (part + 1) * RANGE] = unpacked(data, np.int64)[0]
+    return out
 
 
-def opening(state: DataFrame, tables: bool) -> np.ndarray:
-    """The contexts' customers, or their tables while each dish has one."""
+def opening(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts' customers, and their tables while each dish has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS, np.int64)
+        total = np.zeros(2 * CONTEXTS, np.int64)
         for b in batches:
             for data in b.column(0):
-                _, c, n = unpacked(data.as_buffer(), np.uint64, np.uint16, np.int64)
-                total += np.bincount(c, weights=n > 0 if tables else n, minlength=CONTEXTS).astype(np.int64)
-        yield filled(total)
+                _, c, n = unpacked(data.as_buffer(), np.uint64, np.uint32, np.int64)
+                total[:CONTEXTS] += np.bincount(c, weights=n, minlength=CONTEXTS).astype(np.int64)
+                total[CONTEXTS:] += np.bincount(c[n > 0], minlength=CONTEXTS)
+        yield pieces(total)
 
-    return added(state.select("data").mapInArrow(run, "k long, n long"))[:CONTEXTS]
+    total = added(state.select("data").mapInArrow(run, "part int, data binary"), 2 * CONTEXTS)
+    return total[:CONTEXTS], total[CONTEXTS:]
 
 
 def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
@@ -321,9 +340,9 @@ def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
                     own.replay(history, setting["sweeps"])
                     total[:CONTEXTS] += np.bincount(own.c, weights=own.t, minlength=CONTEXTS).astype(np.int64)
                     total[CONTEXTS] += own.t0.sum()
-            yield filled(total)
+            yield pieces(total)
 
-        sums = added(state.select("bucket", "data").mapInArrow(run, "k long, n long"))
+        sums = added(state.select("bucket", "data").mapInArrow(run, "part int, data binary"), CONTEXTS + 1)
         history = [*history, {"tables": sums[:CONTEXTS], "t0": int(sums[CONTEXTS])}]
     return history
 
@@ -344,7 +363,7 @@ def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[di
                     codes = own.word << SHIFT | own.c
                     counts = np.add.reduceat(own.n, own.starts)[own.word].astype(np.uint64)
                     continue
-                h, c, _ = unpacked(data.as_buffer(), np.uint64, np.uint16, np.uint32)
+                h, c, _ = unpacked(data.as_buffer(), np.uint64, np.uint32, np.int32)
                 at = np.searchsorted(codes, np.searchsorted(words, h) << SHIFT | c)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([packed(logs[at], counts[at])], pa.binary())], names=["chunk", "kind", "part", "data"])
 
@@ -374,7 +393,7 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
                 if table is None:
                     logs, counts = (np.concatenate(x) for x in zip(*parts))
                     table = logs, np.log10((counts + 1.0) / (n + v + 1.0)), (counts > 0).astype(np.int64)
-                (place,) = unpacked(data, np.uint32)
+                (place,) = unpacked(data, np.int32)
                 sizes = b.column(6)[i].values.to_numpy()
                 starts = np.cumsum(sizes) - sizes
                 logs, base, known = (np.add.reduceat(x[place], starts, dtype=k) for x, k in zip(table, (np.float64, np.float64, np.int64)))
@@ -386,17 +405,18 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
     return out.withColumnRenamed("id", id_col)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, burn: int = 2, samples: int = 2, theta: float = 5.0, theta0: float = 50.0, seed: int = 23, bucket_docs: int = 4_000, chunk_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, burn: int = 2, samples: int = 2, theta: float = 1.0, theta0: float = 50.0, seed: int = 23, bucket_docs: int = 4_000, chunk_tokens: int = 3_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability) for each row."""
     buckets = max(16, docs.count() // bucket_docs)
     rows = durable(chunked(docs, id_col, text_col, folds, fold, buckets, chunk_tokens))
     pairs, texts = rows.where("kind = 0"), rows.where("kind = 1")
     state = durable(by_bucket(pairs, buckets))
-    sums = added(state.select(F.posexplode("sums").alias("k", "n")))
-    vocabulary, tokens, one, two, u_one, u_two = (int(x) for x in sums[:6])
+    sums = state.agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(6)]).first()
+    vocabulary, tokens, one, two, u_one, u_two = (int(x) for x in sums)
+    customers, tables = opening(state)
     discount = lambda a, b: min(max(a / max(a + 2 * b, 1), 0.05), 0.95)
-    setting = {"d": discount(one, two), "d0": discount(u_one, u_two), "theta": theta, "theta0": theta0, "vocabulary": vocabulary, "tokens": tokens, "customers": opening(state, False), "seed": seed, "sweeps": burn + samples, "burn": burn}
-    first = {"tables": opening(state, True), "t0": vocabulary}
+    setting = {"d": discount(one, two), "d0": discount(u_one, u_two), "theta": theta, "theta0": theta0, "vocabulary": vocabulary, "tokens": tokens, "customers": customers, "seed": seed, "sweeps": burn + samples, "burn": burn}
+    first = {"tables": tables, "t0": vocabulary}
     history = sampled(state, setting, first)
     return scored(texts, answered(pairs, state, setting, history, buckets), setting, id_col)
 

@@ -49,7 +49,7 @@ def bucket(n_words=40, seed=1):
     rng = np.random.default_rng(seed)
     pairs = {(int(w), int(c)): int(rng.choice([0, 1, 1, 2, 3, 70, 400])) for w in range(1, n_words) for c in (3, 7, lm.START) if rng.random() < 0.7}
     keys = sorted(pairs)
-    h, c, n = np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint16), np.array([pairs[k] for k in keys], np.int64)
+    h, c, n = np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint32), np.array([pairs[k] for k in keys], np.int64)
     vocabulary = len({k[0] for k in keys if pairs[k]})
     setting = {"d": 0.6, "d0": 0.5, "theta": 2.0, "theta0": 3.0, "vocabulary": vocabulary, "tokens": int(n.sum()), "customers": np.bincount(c, weights=n, minlength=lm.CONTEXTS).astype(np.int64), "seed": 1, "sweeps": 3, "burn": 1}
     return lm.Bucket(0, lm.packed(h, c, n), setting), pairs, setting
