@@ -325,14 +325,24 @@ def opening(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[:CONTEXTS], total[CONTEXTS:]
 
 
+def carried(setting: dict, history: list[dict]) -> tuple[dict, list[dict]]:
+    """Settings and totals as they are broadcast."""
+    return {**setting, "customers": packed(setting["customers"])}, [{**t, "tables": packed(t["tables"])} for t in history]
+
+
+def received(setting: dict, history: list[dict]) -> tuple[dict, list[dict]]:
+    whole = lambda data: unpacked(data, np.int64)[0]
+    return {**setting, "customers": whole(setting["customers"])}, [{**t, "tables": whole(t["tables"])} for t in history]
+
+
 def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
     """The restaurants' totals before and after each sweep."""
     history, sc = [first], state.sparkSession.sparkContext
     for _ in range(setting["sweeps"]):
-        sent = sc.broadcast((setting, history))
+        sent = sc.broadcast(carried(setting, history))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            setting, history = sent.value
+            setting, history = received(*sent.value)
             total = np.zeros(CONTEXTS + 1, np.int64)
             for b in batches:
                 for number, data in zip(b.column(0).to_pylist(), b.column(1)):
@@ -349,10 +359,10 @@ def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
 
 def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[dict], buckets: int) -> DataFrame:
     """chunk, kind 0, part (bucket), data: for each of the chunk's pairs the log10 probability and the word's training count."""
-    sent = state.sparkSession.sparkContext.broadcast((setting, history))
+    sent = state.sparkSession.sparkContext.broadcast(carried(setting, history))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        setting, history = sent.value
+        setting, history = received(*sent.value)
         own = words = codes = logs = counts = None
         for b in batches:
             for number, chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
