@@ -12,7 +12,8 @@ the arrangement at the tables summed out (generalized Stirling numbers) for up t
 256 customers; more are seated one after the other up to 256 and then in blocks of
 a 32nd of those seated, each with the probability at its middle. Predictive
 probabilities are averaged over the sweeps after the burn-in. Discounts come from
-the counts of counts.
+the counts of counts. A token's log10 probability is rounded to 1/4096, far less
+than sweeps differ by.
 
 How it is distributed. Texts are read in chunks of some million tokens. A chunk
 turns into its distinct (word, context) pairs with training counts, cut into
@@ -55,6 +56,8 @@ END = xxhash.xxh64_intdigest(b" ")
 EXACT = 256
 #: Restaurants whose totals are added up together.
 RANGE = 1 << 16
+#: Steps of a token's log10 probability: answers travel in whole steps.
+STEP = 4096
 #: Weights of table numbers that are held at once.
 CELLS = 1 << 20
 
@@ -106,7 +109,7 @@ class Chunk:
         self.tokens += len(words) + 1
 
     def rows(self, name: str, buckets: int, piece: int) -> Iterator[tuple]:
-        """(chunk, kind, part, data, ids, held, sizes): kind 0 a bucket's pairs, kind 1 texts as places."""
+        """(chunk, kind, part, data, counts, ids, held, sizes): kind 0 a bucket's pairs, kind 1 texts as places."""
         words = list(self.numbers)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words] + [END], np.uint64)
         classes = np.array([context(w) for w in words] + [START], np.int64)
@@ -130,19 +133,19 @@ class Chunk:
         h, c, counts, bucket, place = h[order], c[order], counts[order], bucket[order], rank[place]
         cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), bucket.size]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield name, 0, int(bucket[a]), packed(h[a:b], c[a:b], counts[a:b]), [], [], []
+            yield name, 0, int(bucket[a]), packed(h[a:b], c[a:b]), packed(counts[a:b]), [], [], []
         first = 0
         while first < len(self.docs):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + piece)))
             a, b = int(ends[first] - sizes[first]), int(ends[last - 1])
             part = self.docs[first:last]
-            yield name, 1, first, packed(place[a:b]), [k for k, _ in part], [x for _, x in part], sizes[first:last].tolist()
+            yield name, 1, first, packed(place[a:b]), None, [k for k, _ in part], [x for _, x in part], sizes[first:last].tolist()
             first = last
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, buckets: int, tokens: int) -> DataFrame:
     kind = docs.schema[id_col].dataType
-    names = ["chunk", "kind", "part", "data", "ids", "held", "sizes"]
+    names = ["chunk", "kind", "part", "data", "counts", "ids", "held", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, chunk, types = TaskContext.get().partitionId(), count(), Chunk(), None
@@ -153,7 +156,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int,
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
         for b in batches:
-            types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(b.schema.field(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(b.schema.field(0).type), pa.list_(pa.bool_()), pa.list_(pa.int64())]
             for key, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 chunk.add(key, held, text.as_buffer().to_pybytes())
                 if chunk.tokens >= tokens:
@@ -163,7 +166,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int,
             yield from flush()
 
     rows = docs.select(F.col(id_col).alias("id"), (id_remainder(id_col, folds) == fold).alias("held"), utf8(text_col).alias("t"))
-    return rows.mapInArrow(run, f"chunk string, kind int, part int, data binary, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<bigint>")
+    return rows.mapInArrow(run, f"chunk string, kind int, part int, data binary, counts binary, ids array<{kind.simpleString()}>, held array<boolean>, sizes array<bigint>")
 
 
 def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -189,12 +192,12 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(h, c, n)], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=["bucket", "data", "sums"])
 
         for b in batches:
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for bucket, data, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 if at is not None and bucket != at:
                     yield out()
                     parts, waiting = [], 0
                 at = bucket
-                parts.append(tuple(unpacked(data.as_buffer(), np.uint64, np.uint32, np.int32)))
+                parts.append((*unpacked(data.as_buffer(), np.uint64, np.uint32), *unpacked(counts.as_buffer(), np.int32)))
                 waiting += parts[-1][0].size
                 if waiting > 1 << 21 and len(parts) > 1:
                     parts = [merged(parts)]
@@ -202,7 +205,7 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
         if at is not None:
             yield out()
 
-    rows = pairs.select(F.col("part").alias("bucket"), "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = pairs.select(F.col("part").alias("bucket"), "data", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(run, "bucket int, data binary, sums array<bigint>")
 
 
@@ -358,7 +361,7 @@ def sampled(state: DataFrame, setting: dict, first: dict) -> list[dict]:
 
 
 def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[dict], buckets: int) -> DataFrame:
-    """chunk, kind 0, part (bucket), data: for each of the chunk's pairs the log10 probability and the word's training count."""
+    """chunk, kind 0, part (bucket), data: for each of the chunk's pairs the log10 probability, in steps, and the word's training count."""
     sent = state.sparkSession.sparkContext.broadcast(carried(setting, history))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,12 +371,12 @@ def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[di
             for number, chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if chunk is None:
                     own = Bucket(number, data.as_buffer(), setting)
-                    logs = np.log10(own.replay(history, setting["burn"])).astype(np.float32)
+                    logs = np.rint(np.log10(own.replay(history, setting["burn"])) * -STEP).astype(np.int32)
                     words = own.h[own.starts]
                     codes = own.word << SHIFT | own.c
                     counts = np.add.reduceat(own.n, own.starts)[own.word].astype(np.uint64)
                     continue
-                h, c, _ = unpacked(data.as_buffer(), np.uint64, np.uint32, np.int32)
+                h, c = unpacked(data.as_buffer(), np.uint64, np.uint32)
                 at = np.searchsorted(codes, np.searchsorted(words, h) << SHIFT | c)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([packed(logs[at], counts[at])], pa.binary())], names=["chunk", "kind", "part", "data"])
 
@@ -398,15 +401,15 @@ def scored(texts: DataFrame, answers: DataFrame, setting: dict, id_col: str) ->
                 if chunk != at:
                     at, parts, table = chunk, [], None
                 if what == 0:
-                    parts.append(unpacked(data, np.float32, np.uint64))
+                    parts.append(unpacked(data, np.int32, np.uint64))
                     continue
                 if table is None:
                     logs, counts = (np.concatenate(x) for x in zip(*parts))
-                    table = logs, np.log10((counts + 1.0) / (n + v + 1.0)), (counts > 0).astype(np.int64)
+                    table = logs / -STEP, np.log10((counts + 1.0) / (n + v + 1.0)), (counts > 0).astype(np.int64)
                 (place,) = unpacked(data, np.int32)
                 sizes = b.column(6)[i].values.to_numpy()
                 starts = np.cumsum(sizes) - sizes
-                logs, base, known = (np.add.reduceat(x[place], starts, dtype=k) for x, k in zip(table, (np.float64, np.float64, np.int64)))
+                logs, base, known = (np.add.reduceat(x[place], starts) for x in table)
                 yield pa.RecordBatch.from_arrays([b.column(4)[i].values, b.column(5)[i].values, pa.array(sizes), pa.array(known), pa.array(np.full(sizes.size, n, np.int64)), pa.array(base), pa.array(logs)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = texts.unionByName(answers, allowMissingColumns=True)
