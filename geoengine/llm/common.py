@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +56,28 @@ def size_within(df: DataFrame, rows: int) -> bool:
 
 def documents_schema(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NullType)]
+
+
+#: Types of arrays that are packed as steps.
+STEPS = (np.uint64, np.uint32)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, one plane of bytes after the other; unsigned ones, which come in order or in runs, as steps."""
+    planes = []
+    for a in arrays:
+        if a.dtype in STEPS:
+            a = np.diff(a, prepend=a.dtype.type(0))
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes = [np.dtype(d).itemsize for d in dtypes]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for d, s in zip(dtypes, sizes):
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * s, at).reshape(s, n).T).view(d).ravel()
+        out.append(np.cumsum(a, dtype=d) if d in STEPS else a)
+        at += n * s
+    return out

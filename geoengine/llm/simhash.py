@@ -16,14 +16,18 @@ family over the bits that its mask leaves free. What shares both keys can differ
 in at most 16 bits (for radius 4), which bounds every second bucket.
 
 ``keep_one`` wants near copies: texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more, exactly. Sets that similar share a shingle in
-their prefixes, the first n - ceil(0.8 n) + 1 of n shingles in any one order of
-all shingles; so the texts meet by prefix shingle and none is missed. The order
-puts first what is rare in a sample of texts, which keeps the meetings small and
-changes nothing else. Each pair that meets and can still be similar by its sizes
-and positions is verified on the whole sets, unless bitmaps of parities already
-differ in more bits than the sets may differ in elements. First come neighbours in a bucket,
-then only the pairs of a bucket that the verified links have not joined yet.
+Jaccard similarity of 0.8 or more, exactly. The SimHashes of the sets are linked
+as above, and each link is verified on the whole sets. For similar sets whose
+SimHashes are further apart, an exact completion follows: sets of sizes na and nb
+that similar differ in at most d = (na + nb) / 9 elements, so cut into parts by
+the elements' hashes they differ in at most d parts, and the d + 1 parts that come
+first in any one order of all parts hold one they share. Texts meet by those
+parts, larger ones first, as several shingles seldom agree by chance. Shingles that
+are common in a sample of texts stand aside as long as enough parts are left
+without them. Pairs that meet are verified like the links: in each bucket first
+the pairs with one leader, then all that the verified ones have not joined yet.
+Bitmaps of parities spare pairs that already differ in more bits than the sets
+may differ in elements. No pair of similar sets is missed.
 
 Nulls: a null text is the empty text, with fingerprint zero, linked like any
 other; a null doc_id is a row like others, and never the smallest of its
@@ -35,7 +39,7 @@ read, so further columns don't matter.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoengine.llm.common import batch_of, column, utf8, words_of
+from geoengine.llm.common import batch_of, column, packed, unpacked, utf8, words_of
 from geoengine.session import durable
 
 BITS = 64
@@ -52,6 +56,10 @@ BITS = 64
 PARITY = 16
 #: Shingles whose bits are unpacked at once; bounds memory for very long texts.
 SLICE = 1 << 15
+#: Bits of a part's signature that are shuffled; agreement by chance only costs a pair to verify.
+SIGNED = 48
+#: Signatures that a task gathers before it sends them on in blocks.
+GATHERED = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -65,12 +73,16 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths) + np.arange(len(words))
     starts, ends = (ends - lengths)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(starts), SLICE):
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + SLICE], ends[k : k + SLICE])])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big", signed=True)
+    return majority(np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts[k : k + SLICE], ends[k : k + SLICE])]), ">u8") for k in range(0, len(starts), SLICE))
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The signed number whose bits are 1 where over half of the hashes, which come in slices, have a 1."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for hashes in slices:
+        bits = np.unpackbits(hashes.astype(">u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1)
+        ones, count = ones + bits.sum(axis=0, dtype=np.int32), count + hashes.size
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -312,25 +324,135 @@ def common_shingles(texts: DataFrame, size: int, seed: int, sample: int = 20_000
     return hashes[order], counts[order]
 
 
-def _possible(na, ia, nb, ib, t: Fraction):
-    """Whether sets of these sizes can have Jaccard t if the elements at these places of the order are the first they share."""
-    return np.minimum(na - ia, nb - ib) * (t.denominator + t.numerator) >= t.numerator * (na + nb)
+def _parts(a: np.ndarray, parts: int, most: int, salt: int) -> tuple[np.ndarray, int]:
+    """Signatures of the ``most`` first parts of a set of hashes that holds any, largest first, and the number of parts that hold any."""
+    if not a.size:
+        return a, 0
+    part = (a % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    x = a[order]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    signed = np.add.reduceat(x, starts)
+    first = np.lexsort((signed, -np.diff(starts, append=a.size)))[:most]
+    return _salted(signed[first], salt), starts.size
+
+
+def _salted(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray, t: Fraction) -> np.ndarray:
+    """Numbers of which any two sets with Jaccard t or more share one. ``hashes`` (ascending) with ``counts`` are the common elements.
+
+    A scheme for each power of two that the larger set's size may have as next
+    one up fixes the number of parts. A set with too few parts beside the common
+    elements also gives those of the whole set, and one that has too few even so
+    the elements of its prefix: of two sets, the one with enough parts suffices.
+    """
+    n = s.size
+    if not n:
+        return s
+    often = np.zeros(n, np.int64)
+    if hashes.size:
+        at = np.minimum(np.searchsorted(hashes, s), hashes.size - 1)
+        often = np.where(hashes[at] == s, counts[at], 0)
+    rare, most, found = s[often == 0], n * t.denominator // t.numerator, []
+    apart, both = t.denominator - t.numerator, t.denominator + t.numerator
+    scheme = (n - 1).bit_length()
+    while scheme == (n - 1).bit_length() or 1 << (scheme - 1) < most:
+        top = 1 << scheme
+        differ = (n + min(top, most)) * apart // both
+        parts = -(-12 * top * apart // (5 * both)) + 2
+        for level, own in enumerate((rare, s)):
+            some, filled = _parts(own, parts, differ + 1, 3 * scheme + level)
+            found.append(some)
+            if filled > differ:
+                break
+        else:
+            prefix = n - -(-n * t.numerator // t.denominator) + 1
+            found.append(_salted(s[np.argsort(often, kind="stable")[:prefix]], 3 * scheme + 2))
+        scheme += 1
+    return np.concatenate(found)
+
+
+def _signed(sent, size: int, seed: int, t: Fraction, ranges: int):
+    """Over texts: blocks (range, data) of signatures with their set's hash; a task's repeats of a set once."""
+
+    def block(found: list[np.ndarray], fps: list[int]) -> Iterator[pa.RecordBatch]:
+        s = np.concatenate(found) >> np.uint64(64 - SIGNED)
+        fp = np.repeat(np.array(fps, np.int64), [x.size for x in found])
+        at = (s % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        s, fp, at = s[order].view(np.int64), fp[order].view(np.uint64), at[order]
+        cuts = np.r_[np.flatnonzero(np.diff(at, prepend=-1)), at.size].tolist()
+        for a in range(0, len(cuts) - 1, 256):
+            spans = list(zip(cuts[a : a + 256], cuts[a + 1 : a + 257]))
+            yield batch_of(range=at[[x for x, _ in spans]], data=pa.array([packed(s[x:y], fp[x:y]) for x, y in spans], pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = sent.value
+        found, fps, seen, held = [], [], set(), 0
+        for b in batches:
+            for x in b.column(0):
+                s = shingles(x.as_buffer().to_pybytes(), size, seed)
+                fp = _set_hash(s, seed)
+                if fp in seen or not s.size:
+                    continue
+                seen.add(fp)
+                found.append(signatures(s, hashes, counts, t))
+                fps.append(fp)
+                held += found[-1].size
+                if held >= GATHERED:
+                    yield from block(found, fps)
+                    found, fps, seen, held = [], [], set(), 0
+        if found:
+            yield from block(found, fps)
+
+    return run
 
 
-def _meetings(t: Fraction, across: bool):
-    """Over rows (s, n, p, fp, root) sorted by (s, n, fp), pairs late = 0, u, v of a bucket (one s) that can be similar: neighbours, with the members of larger buckets as late = 1; or, ``across``, all pairs of unlike root."""
+def _set_hash(s: np.ndarray, seed: int) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(s.tobytes(), seed), "big", signed=True)
 
-    def near(s, n, p, fp, root) -> Iterator[pa.RecordBatch]:
-        same = s[1:] == s[:-1]
-        i = np.flatnonzero(same & _possible(n[1:], p[1:], n[:-1], p[:-1], t))
-        three = np.flatnonzero(same[1:] & same[:-1])
-        late = np.unique(np.r_[three, three + 1, three + 2])
-        u, v = np.maximum(fp[i], fp[i + 1]), np.minimum(fp[i], fp[i + 1])
-        zero = np.zeros(i.size, np.int64)
-        yield batch_of(late=zero, u=u, v=v, n=zero, p=zero)
-        yield batch_of(late=np.ones(late.size, np.int64), u=fp[late], v=s[late], n=n[late], p=p[late])
 
-    def far(s, n, p, fp, root) -> Iterator[pa.RecordBatch]:
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over blocks sorted by range: for each signature that several sets have, the pairs u, v of the smallest with the others (late = 0); of three sets and more also the members u with the signature v (late = 1)."""
+
+    def out(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        s, fp = (np.concatenate(x) for x in zip(*parts))
+        fp = fp.view(np.int64)
+        order = np.lexsort((fp, s))
+        s, fp = s[order], fp[order]
+        keep = np.r_[True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])]
+        s, fp = s[keep], fp[keep]
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        sizes = np.diff(starts, append=s.size)
+        size, first = np.repeat(sizes, sizes), np.repeat(fp[starts], sizes)
+        pair, many = first != fp, size > 2
+        u, v = np.unique(np.stack([fp[pair], first[pair]]), axis=1)
+        yield batch_of(late=np.zeros(u.size, np.int32), u=u, v=v)
+        yield batch_of(late=np.ones(int(many.sum()), np.int32), u=fp[many], v=s[many])
+
+    at, parts = None, []
+    for b in batches:
+        for k, data in zip(b.column(0).to_pylist(), b.column(1)):
+            if parts and k != at:
+                yield from out(parts)
+                parts = []
+            at = k
+            parts.append(unpacked(data.as_buffer(), np.int64, np.uint64))
+    if parts:
+        yield from out(parts)
+
+
+def _unjoined(t: Fraction):
+    """Over rows (s, n, fp, root, bits) sorted by (s, n): the pairs u, v of a bucket (one s) of unlike root that can have Jaccard t by their sizes and parities."""
+    both, apart = t.denominator + t.numerator, t.denominator - t.numerator
+
+    def far(s, n, fp, root, bits) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         ends = np.r_[starts[1:], s.size]
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -338,8 +460,9 @@ def _meetings(t: Fraction, across: bool):
         for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             for i in range(a, b - 1):
                 top = a + int(np.searchsorted(n[a:b], n[i] * t.denominator // t.numerator, "right"))
-                j = slice(i + 1, top)
-                k = np.flatnonzero((root[j] != root[i]) & _possible(n[j], p[j], n[i], p[i], t)) + i + 1
+                k = np.flatnonzero(root[i + 1 : top] != root[i]) + i + 1
+                differ = np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                k = k[differ * both <= (n[k] + n[i]) * apart]
                 if k.size:
                     found.append((np.maximum(fp[k], fp[i]), np.minimum(fp[k], fp[i])))
                     held += k.size
@@ -351,26 +474,24 @@ def _meetings(t: Fraction, across: bool):
 
     def pairs(found) -> pa.RecordBatch:
         u, v = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
-        zero = np.zeros(u.size, np.int64)
-        return batch_of(late=zero, u=u, v=v, n=zero, p=zero)
+        return batch_of(u=u, v=v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # whole buckets go on; the last one of a batch waits for the rest of it
         wait: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            rows = tuple(column(b, c) for c in ("s", "n", "p", "fp", "root"))
-            if not rows[0].size:
+            if not b.num_rows:
                 continue
+            rows = (*(column(b, c) for c in ("s", "n", "fp", "root")), np.array(b.column(4).flatten()).view(np.uint64).reshape(-1, PARITY))
             s = rows[0]
             if s[-1] == s[0] and (not wait or wait[0][0][0] == s[0]):
                 wait.append(rows)
                 continue
             last = int(np.searchsorted(s, s[-1]))
-            whole = tuple(np.concatenate(x) for x in zip(*wait, tuple(x[:last] for x in rows)))
-            yield from (far if across else near)(*whole)
+            yield from far(*(np.concatenate(x) for x in zip(*wait, tuple(x[:last] for x in rows))))
             wait = [tuple(x[last:] for x in rows)]
         if wait:
-            yield from (far if across else near)(*(np.concatenate(x) for x in zip(*wait)))
+            yield from far(*(np.concatenate(x) for x in zip(*wait)))
 
     return run
 
@@ -406,7 +527,8 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, see
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, sketches: int = 6, max_bits: int = 16, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for texts whose shingle sets have a Jaccard of ``similarity`` or more; fp is a hash of the set.
 
-    ``radius``, ``sketches`` and ``max_bits`` are taken for older calls and have no effect: no sketch decides.
+    ``radius`` is that of the SimHash links, and changes no result, as the similarity is verified and the completion exact.
+    ``sketches`` and ``max_bits`` are taken for older calls and have no effect.
     """
     t = Fraction(str(similarity))
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
@@ -414,41 +536,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(keyed, shingle, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = sent.value
         for b in batches:
-            fps, sizes, firsts, bits = [], [], [], []
+            fps, sims, sizes, bits = [], [], [], []
             for x in b.column(2):
                 s = shingles(x.as_buffer().to_pybytes(), shingle, seed)
-                fps.append(int.from_bytes(xxhash.xxh64_digest(s.tobytes(), seed), "big", signed=True))
+                fps.append(_set_hash(s, seed))
+                sims.append(majority(s[k : k + SLICE] for k in range(0, s.size, SLICE)))
                 sizes.append(s.size)
                 odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                first = s.size - -(-s.size * t.numerator // t.denominator) + 1 if s.size else 0
-                if hashes.size:
-                    at = np.minimum(np.searchsorted(hashes, s), hashes.size - 1)
-                    s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
-                firsts.append(s[:first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "key", "fp", "n", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (fps, sims, sizes)), pa.array(bits, pa.list_(pa.int64()))], names=["id", "key", "fp", "sim", "n", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, n long, first array<bigint>, bits array<bigint>")
+    rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, sim long, n long, bits array<bigint>")
     rows = durable(rows.withColumnRenamed("id", id_col))
     # texts of one set are one node; any of them stands for it
-    keys = durable(rows.groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("bits").alias("bits")))
-    nodes = rows.select("fp", "n", "first").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("first").alias("p", "s"))
-    out = "late long, u long, v long, n long, p long"
-
-    def dealt(members: DataFrame) -> DataFrame:
-        return members.select("s", "n", F.col("p").cast("long").alias("p"), "fp", "root").repartition("s").sortWithinPartitions("s", "n", "fp")
-
-    met = durable(dealt(nodes.withColumn("root", F.col("fp"))).mapInArrow(_meetings(t, False), out))
-    pairs = lambda df: df.where("late = 0").select("u", "v").distinct()
-    edges = durable(verified(durable(pairs(met)), keys, keyed, shingle, seed, t))
-    late = met.where("late = 1").select(F.col("v").alias("s"), "n", "p", F.col("u").alias("fp"))
+    keys = durable(rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in ("key", "sim", "n", "bits")]))
+    # SimHash: links between the fingerprints of sets, and sets of one fingerprint
+    stands = durable(keys.groupBy("sim").agg(F.min("fp").alias("fp")))
+    side = lambda c: stands.select(F.col("sim").alias(c), F.col("fp").alias(f"f{c}"))
+    linked = links(stands.select(F.col("sim").alias("fp")), radius).distinct().join(side("u"), "u").join(side("v"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    equal = keys.select("sim", F.col("fp").alias("u")).join(stands.withColumnRenamed("fp", "v"), "sim").where("u <> v").select("u", "v")
+    # the exact completion: sets that share a part
+    ranges = max(16, rows.count() // 2_000)
+    blocks = texts.select("text").mapInArrow(_signed(sent, shingle, seed, t, ranges), "range long, data binary")
+    met = durable(blocks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meetings, "late int, u long, v long"))
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = durable(ordered(met.where("late = 0").select("u", "v").unionByName(linked).unionByName(equal)))
+    edges = durable(verified(pairs, keys, keyed, shingle, seed, t))
+    late = met.where("late = 1").select(F.col("u").alias("fp"), F.col("v").alias("s"))
     if not late.isEmpty():
         roots = durable(components(thinned(edges)))
-        grouped = late.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rest = durable(pairs(dealt(grouped).mapInArrow(_meetings(t, True), out)))
+        grouped = late.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(keys.select("fp", "n", "bits"), "fp")
+        grouped = grouped.select("s", "n", "fp", "root", "bits").repartition("s").sortWithinPartitions("s", "n")
+        rest = durable(grouped.mapInArrow(_unjoined(t), "u long, v long").distinct())
         if not rest.isEmpty():
             edges = durable(edges.unionByName(verified(rest, keys, keyed, shingle, seed, t)))
     return classes(rows.select(id_col, "fp"), edges, id_col)

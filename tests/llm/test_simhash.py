@@ -262,3 +262,76 @@ def test_near_copies_find_appended_truncated_and_replaced_passages(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
     assert all(got[i] == got[i + 1] for i in close)
     assert got == want
+
+
+@pytest.mark.parametrize("similarity", ["0.8", "0.5"])
+def test_similar_sets_share_a_signature(similarity):
+    from fractions import Fraction
+
+    t, rng = Fraction(similarity), np.random.default_rng(5)
+    common = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    counts = rng.integers(3, 50, common.size)
+    met = 0
+    for k in range(3000):
+        n = int(rng.choice([2, 4, 5, 9, 16, 17, 33, 64, 130, 260]))
+        own = rng.integers(1 << 63, (1 << 64) - 1, n, dtype=np.uint64)
+        often = rng.random(n) < rng.choice([0, 0.2, 0.9, 1])
+        a = np.unique(np.where(often, rng.choice(common, n), own))
+        # elements go and others come, as many as the similarity allows
+        gone = rng.integers(0, a.size + 1) * float(rng.random())
+        b = rng.permutation(a)[int(gone * 0.3) :]
+        b = np.unique(np.r_[b, rng.integers(1 << 63, (1 << 64) - 1, rng.integers(0, 1 + a.size // 4), dtype=np.uint64)])
+        shared = np.intersect1d(a, b).size
+        if shared * t.denominator < (a.size + b.size - shared) * t.numerator:
+            continue
+        met += 1
+        x, y = (simhash.signatures(s, common, counts, t) for s in (a, b))
+        assert np.intersect1d(x, y).size, (k, a.size, b.size, shared)
+    assert met > 800
+
+
+def test_simhash_alone_links_close_copies(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for g in range(12):
+        text = ["w%d" % rng.randrange(5000) for _ in range(1500)]
+        for c in range(3):
+            copy = list(text)
+            if c:
+                copy[rng.randrange(1500)] = "changed"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def nothing(batches):
+        for _ in batches:
+            pass
+        return iter(())
+
+    monkeypatch.setattr(simhash, "_meetings", nothing)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert sum(got[i] == i - i % 3 for i in got) >= 0.9 * len(rows)
+    none = {r.doc_id: r.component_id for r in simhash.near_copies(df, radius=0).collect()}
+    assert sum(none[i] == i for i in none) > sum(got[i] == i for i in got)
+
+
+def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(22)
+    base = ["w%d" % rng.randrange(5000) for _ in range(150)]
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        # most pairs are below 0.8, all above 0.4
+        for p in rng.sample(range(150), 4 + i % 3):
+            copy[p] = "x%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(copy)))
+    asked, verified = [], simhash.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == similar_classes(rows)
+    assert sum(asked) < 240 * 20
