@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoengine.llm.common import batch_of, column, packed, unpacked, utf8, words_of
+from geoengine.llm.common import batch_of, column, packed, size_within, unpacked, utf8, words_of
 from geoengine.session import durable
 
 BITS = 64
@@ -60,6 +60,8 @@ SLICE = 1 << 15
 SIGNED = 48
 #: Signatures that a task gathers before it sends them on in blocks.
 GATHERED = 1 << 18
+#: Keys of texts that are broadcast to find the texts; more are joined by shuffles.
+KEYS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -516,8 +518,9 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, see
     apart = sum(F.bit_count(F.element_at("bu", k + 1).bitwiseXOR(F.element_at("bv", k + 1))) for k in range(PARITY)).cast("long")
     close = apart * (t.denominator + t.numerator) <= (F.col("nu") + F.col("nv")) * (t.denominator - t.numerator)
     pairs = durable(pairs.join(part("u"), "u").join(part("v"), "v").where(close).select("u", "v"))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys.select("fp", "key"), "fp")
-    found = needed.join(texts, "key").select("fp", "text").dropDuplicates(["fp"])
+    needed = durable(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys.select("fp", "key"), "fp"))
+    # few keys go to the texts, so that only texts of theirs are shuffled
+    found = texts.join(F.broadcast(needed) if size_within(needed, KEYS) else needed, "key").select("fp", "text").dropDuplicates(["fp"])
     sets = durable(found.mapInArrow(run, "fp long, s array<bigint>"))
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
     shared = F.size(F.array_intersect("su", "sv")).cast("long") * (t.denominator + t.numerator)
