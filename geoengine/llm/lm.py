@@ -65,6 +65,25 @@ def context(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 1) % START
 
 
+def packed_pairs(h: np.ndarray, c: np.ndarray, buckets: int) -> bytes:
+    """A bucket's pairs in order of word and context: each word once, without what the bucket's number tells, with its pairs' number; contexts as steps inside a word."""
+    first = np.r_[True, h[1:] != h[:-1]][: h.size]
+    starts = np.flatnonzero(first)
+    words = packed(h[starts] // np.uint64(buckets), np.diff(starts, append=h.size).astype(np.int32))
+    c = c.astype(np.int32)
+    return len(words).to_bytes(4, "big") + words + packed(np.where(first, c, np.diff(c, prepend=np.int32(0))))
+
+
+def unpacked_pairs(data: bytes, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    data = memoryview(data)
+    cut = 4 + int.from_bytes(data[:4], "big")
+    words, sizes = unpacked(data[4:cut], np.uint64, np.int32)
+    c = np.cumsum(unpacked(data[cut:], np.int32)[0], dtype=np.int64)
+    before = np.r_[0, c][np.cumsum(sizes) - sizes]
+    h = np.repeat(words * np.uint64(buckets) + np.uint64(bucket), sizes)
+    return h, (c - np.repeat(before, sizes)).astype(np.uint32)
+
+
 class Chunk:
     """Texts on their way into pairs and places."""
 
@@ -108,7 +127,7 @@ class Chunk:
         h, c, counts, bucket, place = h[order], c[order], counts[order], bucket[order], rank[place]
         cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), bucket.size]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield name, 0, int(bucket[a]), packed(h[a:b], c[a:b]), packed(counts[a:b]), [], [], []
+            yield name, 0, int(bucket[a]), packed_pairs(h[a:b], c[a:b], buckets), packed(counts[a:b]), [], [], []
         first = 0
         while first < len(self.docs):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + piece)))
@@ -172,7 +191,7 @@ def by_bucket(pairs: DataFrame, buckets: int) -> DataFrame:
                     yield out()
                     parts, waiting = [], 0
                 at = bucket
-                parts.append((*unpacked(data.as_buffer(), np.uint64, np.uint32), *unpacked(counts.as_buffer(), np.int32)))
+                parts.append((*unpacked_pairs(data.as_buffer(), bucket, buckets), *unpacked(counts.as_buffer(), np.int32)))
                 waiting += parts[-1][0].size
                 if waiting > 1 << 21 and len(parts) > 1:
                     parts = [merged(parts)]
@@ -351,7 +370,7 @@ def answered(pairs: DataFrame, state: DataFrame, setting: dict, history: list[di
                     codes = own.word << SHIFT | own.c
                     counts = np.add.reduceat(own.n, own.starts)[own.word].astype(np.uint64)
                     continue
-                h, c = unpacked(data.as_buffer(), np.uint64, np.uint32)
+                h, c = unpacked_pairs(data.as_buffer(), number, buckets)
                 at = np.searchsorted(codes, np.searchsorted(words, h) << SHIFT | c)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([0], pa.int32()), pa.array([number], pa.int32()), pa.array([packed(logs[at], counts[at])], pa.binary())], names=["chunk", "kind", "part", "data"])
 

@@ -132,3 +132,19 @@ def test_contexts_and_empty(spark):
     only = next(i for i in range(100) if held(i))
     (r,) = lm.score(spark.createDataFrame([(only, "a b", "", 0, "")], SCHEMA)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("buckets", [1, 16, 3750])
+def test_pairs_are_packed_without_loss_and_in_little_room(buckets):
+    rng = np.random.default_rng(buckets)
+    words = np.unique(rng.integers(0, (1 << 64) // buckets - 1, 20_000, dtype=np.uint64)) * np.uint64(buckets) + np.uint64(buckets - 1)
+    h = np.repeat(words, rng.geometric(0.25, words.size))
+    c = rng.integers(0, lm.CONTEXTS, h.size).astype(np.uint32)
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    data = lm.packed_pairs(h, c, buckets)
+    back = lm.unpacked_pairs(data, buckets - 1, buckets)
+    assert all(np.array_equal(x, y) for x, y in zip(back, (h, c))) and back[0].dtype == h.dtype and back[1].dtype == c.dtype
+    assert len(data) < 0.9 * len(lm.packed(h, c))
+    none = lm.packed_pairs(h[:0], c[:0], buckets)
+    assert all(x.size == 0 for x in lm.unpacked_pairs(none, 0, buckets))
