@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoengine.llm.common import batch_of, column, packed, size_within, unpacked, utf8, words_of
+from geoengine.llm.common import batch_of, column, give_back, packed, size_within, unpacked, utf8, words_of
 from geoengine.session import durable
 
 BITS = 64
@@ -412,6 +412,7 @@ def _signed(sent, size: int, seed: int, t: Fraction, ranges: int):
                     found, fps, seen, held = [], [], set(), 0
         if found:
             yield from block(found, fps)
+        give_back()
 
     return run
 
@@ -421,7 +422,7 @@ def _set_hash(s: np.ndarray, seed: int) -> int:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over blocks sorted by range: for each signature that several sets have, the pairs u, v of the smallest with the others (late = 0); of three sets and more also the members u with the signature v (late = 1)."""
+    """Over blocks: for each signature that several sets have, the pairs u, v of the smallest with the others (late = 0); of three sets and more also the members u with the signature v (late = 1)."""
 
     def out(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         s, fp = (np.concatenate(x) for x in zip(*parts))
@@ -438,16 +439,13 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(late=np.zeros(u.size, np.int32), u=u, v=v)
         yield batch_of(late=np.ones(int(many.sum()), np.int32), u=fp[many], v=s[many])
 
-    at, parts = None, []
+    ranges: dict[int, list[bytes]] = {}
     for b in batches:
-        for k, data in zip(b.column(0).to_pylist(), b.column(1)):
-            if parts and k != at:
-                yield from out(parts)
-                parts = []
-            at = k
-            parts.append(unpacked(data.as_buffer(), np.int64, np.uint64))
-    if parts:
-        yield from out(parts)
+        for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ranges.setdefault(k, []).append(data)
+    while ranges:
+        yield from out([unpacked(data, np.int64, np.uint64) for data in ranges.popitem()[1]])
+    give_back()
 
 
 def _unjoined(t: Fraction):
@@ -513,6 +511,7 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, see
                 part = b.slice(k, 256)
                 sets = [shingles(x.as_buffer().to_pybytes(), size, seed).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+        give_back()
 
     part = lambda c: keys.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
     apart = sum(F.bit_count(F.element_at("bu", k + 1).bitwiseXOR(F.element_at("bv", k + 1))) for k in range(PARITY)).cast("long")
@@ -549,6 +548,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (fps, sims, sizes)), pa.array(bits, pa.list_(pa.int64()))], names=["id", "key", "fp", "sim", "n", "bits"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"id {kind}, key long, fp long, sim long, n long, bits array<bigint>")
@@ -563,7 +563,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the exact completion: sets that share a part
     ranges = max(16, rows.count() // 2_000)
     blocks = texts.select("text").mapInArrow(_signed(sent, shingle, seed, t, ranges), "range long, data binary")
-    met = durable(blocks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meetings, "late int, u long, v long"))
+    met = durable(blocks.repartition(ranges, "range").mapInArrow(_meetings, "late int, u long, v long"))
     ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = durable(ordered(met.where("late = 0").select("u", "v").unionByName(linked).unionByName(equal)))
     edges = durable(verified(pairs, keys, keyed, shingle, seed, t))
