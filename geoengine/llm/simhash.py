@@ -24,10 +24,10 @@ the elements' hashes they differ in at most d parts, and the d + 1 parts that co
 first in any one order of all parts hold one they share. Texts meet by those
 parts, larger ones first, as several shingles seldom agree by chance. Shingles that
 are common in a sample of texts stand aside as long as enough parts are left
-without them. Pairs that meet are verified like the links: in each bucket first
-the pairs with one leader, then all that the verified ones have not joined yet.
-Bitmaps of parities spare pairs that already differ in more bits than the sets
-may differ in elements. No pair of similar sets is missed.
+without them. Texts that meet, are not joined by verified links and may still be
+similar by sizes and bitmaps of parities (which differ in no more bits than the
+sets do in elements) form groups; the sets of a group are compared in its task,
+from which only the links that join them leave. No pair of similar sets is missed.
 
 Nulls: a null text is the empty text, with fingerprint zero, linked like any
 other; a null doc_id is a row like others, and never the smallest of its
@@ -422,7 +422,7 @@ def _set_hash(s: np.ndarray, seed: int) -> int:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over blocks: for each signature that several sets have, the pairs u, v of the smallest with the others (late = 0); of three sets and more also the members u with the signature v (late = 1)."""
+    """Over blocks: fp, s for each set fp of each signature s that several sets have; two sets that are alone with several signatures come with one of a range's."""
 
     def out(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         s, fp = (np.concatenate(x) for x in zip(*parts))
@@ -433,11 +433,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, fp = s[keep], fp[keep]
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         sizes = np.diff(starts, append=s.size)
-        size, first = np.repeat(sizes, sizes), np.repeat(fp[starts], sizes)
-        pair, many = first != fp, size > 2
-        u, v = np.unique(np.stack([fp[pair], first[pair]]), axis=1)
-        yield batch_of(late=np.zeros(u.size, np.int32), u=u, v=v)
-        yield batch_of(late=np.ones(int(many.sum()), np.int32), u=fp[many], v=s[many])
+        two = starts[sizes == 2]
+        two = two[np.unique(np.stack([fp[two], fp[two + 1]]), axis=1, return_index=True)[1]]
+        many = np.repeat(sizes > 2, sizes)
+        many[two] = many[two + 1] = True
+        yield batch_of(fp=fp[many], s=s[many])
 
     ranges: dict[int, list[bytes]] = {}
     for b in batches:
@@ -449,30 +449,33 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unjoined(t: Fraction):
-    """Over rows (s, n, fp, root, bits) sorted by (s, n): the pairs u, v of a bucket (one s) of unlike root that can have Jaccard t by their sizes and parities."""
+    """Over rows (s, n, fp, root, bits) sorted by (s, n): links u, v that join in each bucket (one s) the members of unlike root that can have Jaccard t by their sizes and parities; less than one a member."""
     both, apart = t.denominator + t.numerator, t.denominator - t.numerator
 
     def far(s, n, fp, root, bits) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         ends = np.r_[starts[1:], s.size]
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        found, held = [], 0
+        found, held, label = [], 0, np.arange(s.size)
         for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
             for i in range(a, b - 1):
                 top = a + int(np.searchsorted(n[a:b], n[i] * t.denominator // t.numerator, "right"))
-                k = np.flatnonzero(root[i + 1 : top] != root[i]) + i + 1
+                k = np.flatnonzero((root[i + 1 : top] != root[i]) & (label[i + 1 : top] != label[i])) + i + 1
                 differ = np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 k = k[differ * both <= (n[k] + n[i]) * apart]
                 if k.size:
+                    joined, first = np.unique(label[k], return_index=True)
+                    label[a:b][np.isin(label[a:b], joined)] = label[i]
+                    k = k[first]
                     found.append((np.maximum(fp[k], fp[i]), np.minimum(fp[k], fp[i])))
                     held += k.size
                 if held > SLICE:
-                    yield pairs(found)
+                    yield links_of(found)
                     found, held = [], 0
         if found:
-            yield pairs(found)
+            yield links_of(found)
 
-    def pairs(found) -> pa.RecordBatch:
+    def links_of(found) -> pa.RecordBatch:
         u, v = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
         return batch_of(u=u, v=v)
 
@@ -496,14 +499,60 @@ def _unjoined(t: Fraction):
     return run
 
 
-def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int, t: Fraction) -> DataFrame:
-    """u, v: the ``pairs`` (u, v) whose texts' shingle sets have Jaccard t or more.
+def similar_links(sets: list[np.ndarray], label: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links i, j between ``sets`` of Jaccard t or more that join exactly what their pairs join; sets of one label are joined already."""
+    n, label, found = np.array([s.size for s in sets], np.int64), label.copy(), []
+    owner = np.repeat(np.arange(n.size), n)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    # the sets that hold an element, one element after the other
+    holders, count = owner[np.argsort(element, kind="stable")], np.bincount(element)
+    starts, cuts = np.cumsum(count) - count, np.r_[0, np.cumsum(n)]
+    for i in range(n.size):
+        if (label == label[i]).all():
+            break
+        own = element[cuts[i] : cuts[i + 1]]
+        many = count[own]
+        at = np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)
+        shared = np.bincount(holders[at], minlength=n.size)
+        near = np.flatnonzero((label != label[i]) & (shared * (t.denominator + t.numerator) >= (n + n[i]) * t.numerator))
+        if near.size:
+            joined, first = np.unique(label[near], return_index=True)
+            found += [(i, j) for j in near[first].tolist()]
+            label[np.isin(label, joined)] = label[i]
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def _within(t: Fraction):
+    """Over rows (part, fp, root, s) sorted by part: links u, v that join the similar sets s of each part; those of one root are joined already."""
+
+    def solve(rows) -> pa.RecordBatch:
+        fp, root, sets = (sum(x, []) for x in zip(*rows))
+        fp = np.array(fp, np.int64)
+        i, j = similar_links(sets, np.unique(root, return_inverse=True)[1], t)
+        return batch_of(u=np.maximum(fp[i], fp[j]), v=np.minimum(fp[i], fp[j]))
 
-    ``keys`` (fp, key, n, bits) names a text for each node, with its set's size
-    and parities, ``texts`` (key, text) has them. A bit in which two bitmaps
-    differ stands for at least one element in which the sets do, so pairs beyond
-    the difference that t allows go first; only texts of the rest are read again.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait, last = [], None
+        for b in batches:
+            parts, fp, root = (b.column(c).to_pylist() for c in range(3))
+            cuts = [k for k in range(1, b.num_rows) if parts[k] != parts[k - 1]]
+            for x, y in zip([0, *cuts], [*cuts, b.num_rows]) if b.num_rows else ():
+                if wait and parts[x] != last:
+                    yield solve(wait)
+                    wait = []
+                # the sets are copied, so that no batch is held for its views
+                wait.append((fp[x:y], root[x:y], [np.array(z.values.to_numpy(zero_copy_only=False)) for z in b.column(3).slice(x, y - x)]))
+                last = parts[x]
+        if wait:
+            yield solve(wait)
+        give_back()
+
+    return run
+
+
+def sets_of(fps: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """fp, s: the shingle sets of the distinct ``fps`` (column fp); ``keys`` (fp, key) names a text for each, ``texts`` (key, text) has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -513,19 +562,45 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, see
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
         give_back()
 
+    needed = durable(fps.join(keys.select("fp", "key"), "fp"))
+    # few keys go to the texts, so that only texts of theirs are shuffled
+    found = texts.join(F.broadcast(needed) if size_within(needed, KEYS) else needed, "key").select("fp", "text").dropDuplicates(["fp"])
+    return durable(found.mapInArrow(run, "fp long, s array<bigint>"))
+
+
+def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int, t: Fraction) -> DataFrame:
+    """u, v: the ``pairs`` (u, v) whose texts' shingle sets have Jaccard t or more.
+
+    ``keys`` (fp, key, n, bits) names a text for each node, with its set's size
+    and parities, ``texts`` (key, text) has them. A bit in which two bitmaps
+    differ stands for at least one element in which the sets do, so pairs beyond
+    the difference that t allows go first; only texts of the rest are read again.
+    """
     part = lambda c: keys.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
     apart = sum(F.bit_count(F.element_at("bu", k + 1).bitwiseXOR(F.element_at("bv", k + 1))) for k in range(PARITY)).cast("long")
     close = apart * (t.denominator + t.numerator) <= (F.col("nu") + F.col("nv")) * (t.denominator - t.numerator)
     pairs = durable(pairs.join(part("u"), "u").join(part("v"), "v").where(close).select("u", "v"))
-    needed = durable(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(keys.select("fp", "key"), "fp"))
-    # few keys go to the texts, so that only texts of theirs are shuffled
-    found = texts.join(F.broadcast(needed) if size_within(needed, KEYS) else needed, "key").select("fp", "text").dropDuplicates(["fp"])
-    sets = durable(found.mapInArrow(run, "fp long, s array<bigint>"))
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), keys, texts, size, seed)
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
     shared = F.size(F.array_intersect("su", "sv")).cast("long") * (t.denominator + t.numerator)
     return pairs.join(side("u"), "u").join(side("v"), "v").where(shared >= (F.size("su") + F.size("sv")).cast("long") * t.numerator).select("u", "v")
 
 
+def joined_within(groups: DataFrame, roots: DataFrame, keys: DataFrame, texts: DataFrame, size: int, seed: int, t: Fraction, block: int = 4096) -> DataFrame:
+    """u, v: links that join the similar sets of each group, where ``groups`` has (node, root) and ``roots`` (node, root) what is joined already.
+
+    All sets of a group are compared, and only the links that join them leave
+    the task. Of a group with over ``block`` sets each two blocks meet in a task.
+    """
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    members = groups.join(blocks, "root").select(F.col("node").alias("fp"), F.col("root").alias("part"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own"))
+    members = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = members.join(sets_of(groups.select(F.col("node").alias("fp")), keys, texts, size, seed), "fp")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.struct("part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("part"), "fp", "root", "s")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_within(t), "u long, v long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, sketches: int = 6, max_bits: int = 16, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for texts whose shingle sets have a Jaccard of ``similarity`` or more; fp is a hash of the set.
 
@@ -563,18 +638,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the exact completion: sets that share a part
     ranges = max(16, rows.count() // 2_000)
     blocks = texts.select("text").mapInArrow(_signed(sent, shingle, seed, t, ranges), "range long, data binary")
-    met = durable(blocks.repartition(ranges, "range").mapInArrow(_meetings, "late int, u long, v long"))
+    met = durable(blocks.repartition(ranges, "range").mapInArrow(_meetings, "fp long, s long"))
     ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = durable(ordered(met.where("late = 0").select("u", "v").unionByName(linked).unionByName(equal)))
-    edges = durable(verified(pairs, keys, keyed, shingle, seed, t))
-    late = met.where("late = 1").select(F.col("u").alias("fp"), F.col("v").alias("s"))
-    if not late.isEmpty():
+    edges = durable(verified(durable(ordered(linked.unionByName(equal))), keys, keyed, shingle, seed, t))
+    if not met.isEmpty():
         roots = durable(components(thinned(edges)))
-        grouped = late.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(keys.select("fp", "n", "bits"), "fp")
+        grouped = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(keys.select("fp", "n", "bits"), "fp")
         grouped = grouped.select("s", "n", "fp", "root", "bits").repartition("s").sortWithinPartitions("s", "n")
-        rest = durable(grouped.mapInArrow(_unjoined(t), "u long, v long").distinct())
+        rest = durable(grouped.mapInArrow(_unjoined(t), "u long, v long"))
         if not rest.isEmpty():
-            edges = durable(edges.unionByName(verified(rest, keys, keyed, shingle, seed, t)))
+            groups = durable(components(thinned(rest)))
+            edges = durable(edges.unionByName(joined_within(groups, roots, keys, keyed, shingle, seed, t)))
     return classes(rows.select(id_col, "fp"), edges, id_col)
 
 

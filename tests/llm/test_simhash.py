@@ -335,3 +335,72 @@ def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypat
     got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
     assert got == similar_classes(rows)
     assert sum(asked) < 240 * 20
+
+
+def test_unjoined_members_leave_a_bucket_as_links_not_pairs():
+    from fractions import Fraction
+
+    m, rng = 300, np.random.default_rng(7)
+    fp, bits = np.sort(rng.integers(-(1 << 62), 1 << 62, m)), np.zeros((m, simhash.PARITY), np.int64)
+    # two halves that cannot be similar; each has members of three roots
+    bits[m // 2 :] = -1
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int64)), pa.array(np.full(m, 100)), pa.array(fp), pa.array(np.arange(m) % 3), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["s", "n", "fp", "root", "bits"])
+    batches = [rows.slice(k, 70) for k in range(0, m, 70)]
+    found = [p for b in simhash._unjoined(Fraction("0.8"))(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(found) < m
+    low, high = set(fp[: m // 2].tolist()), set(fp[m // 2 :].tolist())
+    for half in (low, high):
+        reached, links = {min(half)}, [p for p in found if p[0] in half]
+        for _ in half:
+            reached |= {x for p in links if reached & set(p) for x in p}
+        assert reached == half
+
+
+@pytest.mark.parametrize("similarity", ["0.8", "0.5"])
+def test_links_within_a_group_join_the_similar_sets(similarity):
+    from fractions import Fraction
+
+    t, rng = Fraction(similarity), np.random.default_rng(13)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, 60)
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(40, 61)], rng.integers(0, 1 << 62, rng.integers(0, 12))]) for _ in range(30)]
+        label = rng.integers(0, 25, 30)
+        i, j = simhash.similar_links(sets, label, t)
+        assert i.size < np.unique(label).size
+
+        def classes_of(pairs, own=label):
+            own = own.copy()
+            for x, y in pairs:
+                own[own == max(own[x], own[y])] = min(own[x], own[y])
+            return own.tolist()
+
+        near = lambda x, y: np.intersect1d(x, y).size * t.denominator >= np.union1d(x, y).size * t.numerator
+        assert all(near(sets[x], sets[y]) for x, y in zip(i, j))
+        assert classes_of(zip(i, j)) == classes_of([(x, y) for x in range(30) for y in range(x) if near(sets[x], sets[y])])
+
+
+def test_long_texts_that_parities_cannot_tell_apart_are_not_paired(spark, monkeypatch):
+    import functools
+
+    rng = random.Random(31)
+    base, rows = ["w%d" % i for i in range(3000)], []
+    for i in range(60):
+        copy = list(base)
+        # of each three texts two are similar; all share parts, and their bitmaps are full
+        spots = rng.sample(range(3000), 70) if i % 3 != 1 else spots + rng.sample(range(3000), 20)
+        for p in spots:
+            copy[p] = "x%d" % (p * 100 + i // 3 * 3 + (i % 3 == 2))
+        rows.append((i, " ".join(copy)))
+    asked, verified = [], simhash.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    monkeypatch.setattr(simhash, "joined_within", functools.partial(simhash.joined_within, block=9))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = similar_classes(rows)
+    assert 20 < len(set(want.values())) < 60
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
+    assert sum(asked) < 60 * 8
