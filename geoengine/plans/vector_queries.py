@@ -32,13 +32,14 @@ def overlaps(spark, sf):
 from (select sid, cast((x - rx) * (x - rx) + (y - ry) * (y - ry) as double) as d2 from {C} c, {S} s)
 where d2 <= 250000 group by sid""")
 def within_distance_agg(spark, sf):
-    pairs = joins.sjoin_within_distance(fx.customers(spark, sf), fx.suppliers(spark, sf), 500)
-    return pairs.groupBy("sid").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+    found = joins.within_distance_stats(fx.customers(spark, sf), fx.suppliers(spark, sf), 500)
+    return found.select("sid", "n", F.round("nearest", 6).alias("nearest"), F.round("mean_distance", 6).alias("mean_distance"))
 
 
 def hits(spark, sf):
-    points = fx.customers(spark, sf).withColumn("x2", F.col("x")).withColumn("y2", F.col("y"))
-    return joins.box_pairs(points, fx.boxes(spark, sf).drop("geometry"), ("x", "y", "x2", "y2"), ("x0", "y0", "x1", "y1"), 128.0)
+    """x, y, pid: the places of customers in boxes."""
+    places = fx.customers(spark, sf).select("x", "y").distinct().withColumn("x2", F.col("x")).withColumn("y2", F.col("y"))
+    return joins.box_pairs(places, fx.boxes(spark, sf).select("pid", "x0", "y0", "x1", "y1"), ("x", "y", "x2", "y2"), ("x0", "y0", "x1", "y1"), 128.0).select("x", "y", "pid")
 
 
 IN_BOX = f"exists (select 1 from {B} b where x between x0 and x1 and y between y0 and y1)"
@@ -46,24 +47,24 @@ IN_BOX = f"exists (select 1 from {B} b where x between x0 and x1 and y between y
 
 @query("semi_points_in_boxes", f"select id, x, y from {C} c where {IN_BOX}")
 def semi_points_in_boxes(spark, sf):
-    return joins.sfilter(fx.customers(spark, sf), hits(spark, sf), "id").select("id", "x", "y")
+    return joins.sfilter(fx.customers(spark, sf), hits(spark, sf), ["x", "y"]).select("id", "x", "y")
 
 
 @query("anti_points_in_boxes", f"select id, x, y from {C} c where not {IN_BOX}")
 def anti_points_in_boxes(spark, sf):
-    return joins.sfilter_inverse(fx.customers(spark, sf), hits(spark, sf), "id").select("id", "x", "y")
+    return joins.sfilter_inverse(fx.customers(spark, sf), hits(spark, sf), ["x", "y"]).select("id", "x", "y")
 
 
 @query("split_points_by_boxes", f"select {IN_BOX} as inside, count(*) as n, cast(sum(x) as bigint) as sum_x from {C} c group by 1")
 def split_points_by_boxes(spark, sf):
-    inside, outside = joins.sfilter_split(fx.customers(spark, sf), hits(spark, sf), "id")
+    inside, outside = joins.sfilter_split(fx.customers(spark, sf), hits(spark, sf), ["x", "y"])
     both = inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False)))
     return both.groupBy("inside").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"))
 
 
 @query("sjoin_points_in_boxes", f"select id, pid from {C} c join {B} b on x between x0 and x1 and y between y0 and y1")
 def sjoin_points_in_boxes(spark, sf):
-    return hits(spark, sf).select("id", "pid")
+    return fx.customers(spark, sf).select("id", "x", "y").join(hits(spark, sf).hint("merge"), ["x", "y"]).select("id", "pid")
 
 
 @query("knn_3", f"""select id, sid, cast(rank as integer) as rank, round(sqrt(d2), 6) as distance from (
@@ -179,8 +180,8 @@ def point_in_triangles(spark, sf):
     t = fx.boxes(spark, sf).select("pid", "x0", "y0", "x1", "y1").withColumn("geometry", g.polygon(F.array(v("x0", "y0"), v("x1", "y0"), v("x0", "y1"), v("x0", "y0"))))
     # points on an edge are left out, as in the SQL
     inside = F.expr("x > x0 and y > y0 and (x - x0) * (y1 - y0) + (y - y0) * (x1 - x0) <> (x1 - x0) * (y1 - y0)") & g.contains_vertex("geometry", v("x", "y"))
-    points = fx.customers(spark, sf).select("id", "x", "y").withColumn("x2", F.col("x")).withColumn("y2", F.col("y"))
-    return joins.box_pairs(points, t, ("x", "y", "x2", "y2"), ("x0", "y0", "x1", "y1"), 128.0, inside).groupBy("pid").agg(F.count("*").alias("n"))
+    places = fx.customers(spark, sf).groupBy("x", "y").agg(F.count("*").alias("m")).withColumn("x2", F.col("x")).withColumn("y2", F.col("y"))
+    return joins.box_pairs(places, t, ("x", "y", "x2", "y2"), ("x0", "y0", "x1", "y1"), 128.0, inside).groupBy("pid").agg(F.sum("m").alias("n"))
 
 
 @query("grouped_centroids", f"select brand, cast(avg(cx) as bigint) as x, round(avg(cy), 4) as y, sum(n) as n from (select brand, (x0 + x1) / 2.0 as cx, (y0 + y1) / 2.0 as cy, count(*) as n from {B} group by 1, 2, 3) group by brand".replace("cast(avg(cx) as bigint)", "round(avg(cx), 4)").replace("sum(n)", "cast(sum(n) as bigint)"))
