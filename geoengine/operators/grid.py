@@ -96,12 +96,17 @@ def random_points(spark: SparkSession, n: int, loc: float = 0.5, seed: int | Non
 
 def random_points_in_polygons(df: DataFrame, key: str, size: int, seed: int = 0, tries: int = 40) -> DataFrame:
     """key, x, y: ``size`` points in each polygon, by rejection from its bounds; the trial points are keyed by seed, row and number, so reruns agree."""
-    trial = df.select(key, "geometry", g.bounds("geometry").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(size * tries))).alias("i"))
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key, "i"), F.lit(1 << 40)) / float(1 << 40)
-    at = trial.withColumn("x", F.col("b.xmin") + u(1) * (F.col("b.xmax") - F.col("b.xmin"))).withColumn("y", F.col("b.ymin") + u(2) * (F.col("b.ymax") - F.col("b.ymin")))
-    inside = at.where(g.contains_vertex("geometry", g.vertex("x", "y")))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("i"))
-    return inside.withColumn("__n", first).where(F.col("__n") <= size).select(key, "x", "y")
+    u = lambda salt, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key, i), F.lit(1 << 40)) / float(1 << 40)
+    at = lambda i: g.vertex(F.col("__b.xmin") + u(1, i) * (F.col("__b.xmax") - F.col("__b.xmin")), F.col("__b.ymin") + u(2, i) * (F.col("__b.ymax") - F.col("__b.ymin")))
+    inside = lambda first, last: F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), at), lambda v: g.contains_vertex("geometry", v))
+    # most shapes need few trials: further ones are made where those before do not do
+    tried = min(size, size * tries)
+    rows = df.select(key, "geometry").repartition(key).withColumn("__b", g.bounds("geometry")).withColumn("__v", inside(0, tried))
+    while tried < size * tries:
+        upto = min(size * tries, 3 * tried)
+        rows = rows.withColumn("__v", F.when(F.size("__v") >= size, F.col("__v")).otherwise(F.concat("__v", inside(tried + 1, upto))))
+        tried = upto
+    return rows.select(key, F.explode(F.slice("__v", 1, size)).alias("__v")).select(key, "__v.x", "__v.y")
 
 
 def gridloop(points: DataFrame, gridsize: float, function: Callable, schema: str, gridbuffer: float = 0.0) -> DataFrame:
