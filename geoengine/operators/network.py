@@ -4,7 +4,8 @@ Costs of a graph whose size is within a checked bound come from a shortest-path
 kernel over a broadcast graph, with the origins dealt to the tasks. Beyond the
 bound, costs spread over the edges by joins, a table of (origin, node, cost) that
 grows by one edge a round until nothing improves; routes then are walked back
-over the last edges of the ways found.
+over the last edges of the ways found. Of parallel edges only the cheapest count,
+as many as there are routes asked for: a way takes one of them at most.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from geoengine.session import durable
 
 #: Graphs of at most so many edges are sent to all tasks.
 BROADCAST_EDGES = 2_000_000
+#: Tables of at most so many costs are sent to all tasks.
+BROADCAST_COSTS = 100_000
 
 
 @dataclass
@@ -210,10 +213,18 @@ class Graph:
         return out[::-1]
 
 
+def cheapest(edges: DataFrame, weight: str, directed: bool, n: int = 1) -> DataFrame:
+    """edge_id, source, target, weight: the n cheapest of the edges between the same nodes, of equals those of smaller ids. Loops and edges without a weight lead nowhere and go."""
+    w = F.col(weight).cast("double")
+    rows = edges.select("edge_id", "source", "target", w.alias(weight)).where(w.isNotNull() & ~F.isnan(w) & ((F.col("source") != F.col("target")) | (w < 0)))
+    ends = ["source", "target"] if directed else [F.least("source", "target"), F.greatest("source", "target")]
+    place = F.row_number().over(Window.partitionBy(*ends).orderBy(weight, "edge_id"))
+    return rows.withColumn("__n", place).where(F.col("__n") <= n).drop("__n")
+
+
 def _graph(edges: DataFrame, weight: str, directed: bool):
     """A broadcast graph of (edge_id, source, target, weight), or None beyond the bound. Negative weights are an error."""
-    rows = edges.select("edge_id", "source", "target", F.col(weight).cast("double").alias("w"))
-    some = rows.limit(BROADCAST_EDGES + 1).toPandas()
+    some = edges.select("edge_id", "source", "target", F.col(weight).alias("w")).limit(BROADCAST_EDGES + 1).toPandas()
     if len(some) > BROADCAST_EDGES:
         return None
     if (some.w < 0).any():
@@ -227,6 +238,7 @@ def _kind(df: DataFrame, c: str) -> str:
 
 def costs(edges: DataFrame, origins: DataFrame, weight: str = "weight", directed: bool = True, cutoff: float | None = None) -> DataFrame:
     """origin, node, cost: of every node that an origin (column origin, a node) reaches."""
+    edges = durable(cheapest(edges, weight, directed))
     sent = _graph(edges, weight, directed)
     limit = math.inf if cutoff is None else cutoff
     if sent is None:
@@ -298,6 +310,7 @@ def get_route(edges: DataFrame, pairs: DataFrame, weight: str = "weight", direct
     cent of the last one's edges; at least one edge is dropped, and of ways of
     over two edges one stays at each end. Pairs without a way have no rows.
     """
+    edges = durable(cheapest(edges, weight, directed, k_routes))
     sent = _graph(edges, weight, directed)
     if sent is None:
         return routes_by_joins(edges, pairs, weight, directed, k_routes, drop_middle_percent)
@@ -405,15 +418,21 @@ def get_route_frequencies(edges: DataFrame, pairs: DataFrame, weight: str = "wei
     return joined.groupBy("edge_id").agg(F.sum(value.cast("double")).alias("frequency")).where("frequency is not null")
 
 
+def _sent(found: DataFrame) -> DataFrame:
+    """Costs to join edges with: the few of a small graph go to the edges, as many edges meet the same node."""
+    return F.broadcast(found) if found.count() <= BROADCAST_COSTS else found
+
+
 def service_area(edges: DataFrame, origins: DataFrame, breaks: list[float], weight: str = "weight", directed: bool = True) -> DataFrame:
     """origin, break, edge_id: the edges with both ends within each break; an origin that reaches none has one row without an edge."""
     found = durable(costs(edges, origins, weight, directed, max(breaks)))
-    at = lambda p: found.select(F.col("origin").alias(f"__{p}o"), F.col("node").alias(f"__{p}n"), F.col("cost").alias(f"__{p}c"))
+    at = lambda p: _sent(found.select(F.col("origin").alias(f"__{p}o"), F.col("node").alias(f"__{p}n"), F.col("cost").alias(f"__{p}c")))
     both = edges.select("edge_id", "source", "target").join(at("s"), F.col("source") == F.col("__sn")).join(at("t"), (F.col("target") == F.col("__tn")) & (F.col("__so") == F.col("__to")))
     steps = F.explode(F.array(*[F.lit(float(x)) for x in sorted(breaks)]))
     inside = both.withColumn("break", steps).where((F.col("__sc") <= F.col("break")) & (F.col("__tc") <= F.col("break"))).select(F.col("__so").alias("origin"), "break", "edge_id")
-    every = origins.select(F.col("origin").alias("__o")).distinct().withColumn("__b", steps)
-    return every.join(inside, (F.col("__o") == F.col("origin")) & (F.col("__b") == F.col("break")), "left").select(F.col("__o").alias("origin"), F.col("__b").alias("break"), "edge_id")
+    every = origins.select("origin").distinct().withColumn("break", steps)
+    without = every.join(inside.select("origin", "break").distinct(), ["origin", "break"], "left_anti")
+    return inside.unionByName(without.withColumn("edge_id", F.lit(None).cast(edges.schema["edge_id"].dataType)))
 
 
 def precise_service_area(edges: DataFrame, origins: DataFrame, breaks: list[float], weight: str = "weight", directed: bool = True) -> DataFrame:
@@ -425,7 +444,7 @@ def precise_service_area(edges: DataFrame, origins: DataFrame, breaks: list[floa
     steps = F.explode(F.array(*[F.lit(float(x)) for x in sorted(breaks)]))
     left = F.col("break") - F.col("cost")
     share = F.when(F.col("__w") <= left, F.lit(1.0)).otherwise(left / F.col("__w"))
-    reached = ways.join(found, F.col("source") == F.col("node")).withColumn("break", steps).where(left >= 0)
+    reached = ways.join(_sent(found), F.col("source") == F.col("node")).withColumn("break", steps).where(left >= 0)
     return reached.withColumn("share", share).where("share > 0").groupBy("origin", "break", "edge_id").agg(F.max("share").alias("share"))
 
 

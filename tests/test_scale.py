@@ -61,3 +61,37 @@ def test_snapping_looks_far_only_where_it_must(spark, monkeypatch):
             best = min(best, ((p.x - s.ax - t) ** 2 + (p.y - s.ay - t) ** 2) ** 0.5)
         assert (got[p.id] or 0) == best if best <= 40 else got[p.id] is None
     assert sum(reaches) < 31 * 300 / 4
+
+
+def test_parallel_edges_do_not_count_against_the_bound(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(n, s, (s + step) % 6, float(r.randrange(1, 9))) for n, (s, step) in enumerate((s, step) for s in range(6) for step in (0, 1, 2) for _ in range(9))]
+    edges = spark.createDataFrame(rows, "edge_id long, source long, target long, weight double")
+    pairs = spark.createDataFrame([(o, d) for o in range(3) for d in range(6)], "origin long, destination long")
+    want = {directed: sorted(map(tuple, network.get_k_routes(edges, pairs, 3, 50, directed=directed).collect())) for directed in (True, False)}
+    whole = network.Graph(rows, True)
+    assert {(o, d): sum(w for *_, w in (rows[e] for a, b, k_, _, e in want[True] if (a, b, k_) == (o, d, 1))) for o in range(3) for d in range(6) if o != d} == {(o, d): c for o in range(3) for d, c in whole.costs(o)[0].items() if d != o}
+    monkeypatch.setattr(network, "BROADCAST_EDGES", 36)
+    monkeypatch.setattr(network, "routes_by_joins", None)
+    for directed in (True, False):
+        assert sorted(map(tuple, network.get_k_routes(edges, pairs, 3, 50, directed=directed).collect())) == want[directed]
+
+
+def test_edges_of_a_service_area_are_not_gathered(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 1.0), (2, 1, 2, 5.0)], "edge_id long, source long, target long, weight double")
+    out = network.service_area(edges, spark.createDataFrame([(0,), (7,)], "origin long"), [2])
+    assert sorted(map(tuple, out.collect())) == [(0, 2.0, 1), (7, 2.0, None)]
+    assert "LeftOuter" not in plan(out) and "BroadcastHashJoin" in plan(out)
+
+
+def test_random_points_need_no_window(spark):
+    shapes = spark.createDataFrame([(1, "POLYGON ((0 0, 9 0, 0 9, 0 0))"), (2, "POLYGON ((0 0, 9 0, 9 1, 0 9, 0 0))")], "id long, t string").select("id", k.from_wkt(F.col("t")).alias("geometry"))
+    out = grid.random_points_in_polygons(shapes, "id", 6, seed=2)
+    assert "Window" not in plan(out)
+    u = lambda salt: F.pmod(F.xxhash64(F.lit(2), F.lit(salt), "id", "i"), F.lit(1 << 40)) / float(1 << 40) * 9
+    trial = shapes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(240)))).select("id", "i", u(1).alias("x"), u(2).alias("y"), "geometry").where(g.contains_vertex("geometry", g.vertex("x", "y")))
+    want = {}
+    for row in trial.orderBy("i").collect():
+        want.setdefault(row.id, []).append((row.x, row.y))
+    got = {n: sorted((r.x, r.y) for r in out.collect() if r.id == n) for n in (1, 2)}
+    assert got == {n: sorted(v[:6]) for n, v in want.items()}
