@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geoengine.functions import geometry as g
@@ -95,3 +96,69 @@ def test_random_points_need_no_window(spark):
         want.setdefault(row.id, []).append((row.x, row.y))
     got = {n: sorted((r.x, r.y) for r in out.collect() if r.id == n) for n in (1, 2)}
     assert got == {n: sorted(v[:6]) for n, v in want.items()}
+
+
+def boxes(spark, n, seed, name="id"):
+    r = random.Random(seed)
+    rows = [(i, x := r.randrange(30), y := r.randrange(30), x + r.randrange(1, 9), y + r.randrange(1, 9)) for i in range(n)]
+    return spark.createDataFrame(rows, f"{name} long, a long, b long, c long, d long").select(name, g.box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geometry")), rows
+
+
+def corners(row):
+    x0, y0, x1, y1 = row[1:]
+    return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]]
+
+
+def test_rectangles_are_told_from_other_shapes(spark):
+    texts = ["POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", "POLYGON ((0 0, 0 2, 1 2, 1 0, 0 0))", "POLYGON ((0 0, 1 0, 1 1, 0 0.5, 0 0))", "POLYGON ((0 0, 0 0, 1 1, 0 1, 0 0))", "POLYGON ((0 0, 1 0, 1 1, 0 0))", "POINT (1 1)", "POLYGON EMPTY", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)))"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", k.from_wkt(F.col("t")).alias("geometry"))
+    assert [r.b for r in df.orderBy("id").select(g.is_box("geometry").alias("b")).collect()] == [True, True] + [False] * 6
+
+
+def test_rectangles_are_paired_without_a_kernel(spark):
+    (a, left), (b, right) = boxes(spark, 25, 1), boxes(spark, 25, 2, "other")
+    for name in ("intersects", "within", "contains"):
+        pairs = overlay.geometry_pairs(a, b, "id", "other", name, size=8.0)
+        assert "ArrowEvalPython" not in plan(pairs)
+        want = {(p[0], q[0]) for p in left for q in right if k.k.predicate(name, ("Polygon", corners(p)), ("Polygon", corners(q)))}
+        assert {(r.id, r.other) for r in pairs.collect()} == want
+    found = overlay.get_intersections(a, "id", 8.0)
+    assert "ArrowEvalPython" not in plan(found)
+    assert found.count() == sum(bool(k.k.intersection(corners(p), corners(q))) for p in left for q in left if p[0] != q[0])
+
+
+def test_rectangles_are_erased_without_pairs(spark, monkeypatch):
+    (a, left), (b, right) = boxes(spark, 25, 3), boxes(spark, 12, 4, "other")
+    monkeypatch.setattr(overlay, "box_pairs", None)
+    for rows, before in ((overlay.clean_overlay(a, b, "difference", size=8.0), None), (overlay.update_geometries(a, "id", size=8.0), True)):
+        got = {r.id: r.area for r in rows.groupBy("id").agg(F.sum(g.area("geometry")).alias("area")).collect()}
+        for p in left:
+            others = [corners(q) for q in (right if before is None else left[: p[0]])]
+            want = k.k.area(k.k.difference(corners(p), others))
+            assert abs(got.get(p[0], 0) - want) < 1e-6
+
+
+def test_large_lattices_are_quartered(monkeypatch):
+    r = random.Random(8)
+    b = np.array([(x := r.randrange(30), y := r.randrange(30), x + r.randrange(1, 9), y + r.randrange(1, 9)) for _ in range(30)]) * 1_000_000
+    yes, sizes = np.ones(30, bool), []
+    for fields in (1 << 24, 9):
+        monkeypatch.setattr(k.k, "FIELDS", fields)
+        left = dict.fromkeys(range(30), 0.0)
+        for n, state, parts in k.k.unpainted(b, yes, yes):
+            left[n] += k.k.area(parts) if state == 2 else (b[n, 2] - b[n, 0]) * (b[n, 3] - b[n, 1]) / 1e12 * state
+        sizes.append({n: round(v, 6) for n, v in left.items()})
+    assert sizes[0] == sizes[1] and sizes[0][0] > 0
+
+
+def test_rectangles_unite_and_cluster(spark, monkeypatch):
+    a, rows = boxes(spark, 40, 5)
+    shapes = [corners(r) for r in rows]
+    whole = k.k.arrange(shapes, lambda c: c.any(axis=1))
+    assert abs(k.k.area(k.k.union(shapes)) - k.k.area(whole)) < 1e-6 and len(k.k.union(shapes)) == len(whole)
+    monkeypatch.setattr(overlay, "geometry_pairs", None)
+    root = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for p in rows:
+            root[p[0]] = min(root[q[0]] for q in rows if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    assert {r.id: r.cluster for r in overlay.get_polygon_clusters(a, "id").collect()} == root
